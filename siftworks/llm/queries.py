@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import mixing
+from . import substring_dedup as substrings
 from .simhash import simhash_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +34,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = mixing.ORACLE
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op9_substring_dedup"] = substrings.ORACLE
