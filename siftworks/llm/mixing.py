@@ -5,11 +5,13 @@ above is shared again by weight. A source's rate is target over size; a document
 and once more if its seeded hash falls below the fraction.
 
 The shares have a closed form: order the sources by MOST * size / weight; those that stop at their cap
-are a prefix of this order, so one pass of running sums finds the level at which the rest settles.
+are a prefix of this order, so one pass of running sums finds the level at which the rest settles (the
+level over the rest grows as sources are capped and falls once one is taken out that need not be, so it is
+the highest).
 
-Scale: documents are read twice, once for partial sums by source, once to emit; the text itself is never
-shuffled. The only table joined is one row a source. Its join is left to the optimiser, which broadcasts
-it below its size threshold and else splits a hot source's rows.
+Scale: documents are read twice, once for partial sums by source, once to emit. The only table joined is
+one row a source; its size is measured, and up to BROADCAST_BYTES it is broadcast, so that documents are
+not shuffled. Above, the join shuffles and adaptive execution splits a hot source's rows.
 """
 
 from __future__ import annotations
@@ -17,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._stage import stage
+
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix"
+#: The table of sources is broadcast up to so many bytes of names and numbers; above, the join shuffles.
+BROADCAST_BYTES = 4 << 20
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -51,7 +57,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     total = F.sum("source_size").over(everything)
     level = (total - most * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(onward)
     filled = ranked.withColumn("level", level.cast("double"))
-    settled = F.min(F.when(most * F.col("source_size") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
+    settled = F.max(F.when(most * F.col("source_size") >= F.col("level") * F.col("weight"), F.col("level"))).over(everything)
     share = F.least((F.col("source_size") * most).cast("double"), F.col("weight") * F.coalesce(settled, F.lit(0.0)))
     return filled.select("source", "source_size", share.cast("double").alias("target"))
 
@@ -76,7 +82,11 @@ def mixed(
         .groupBy("source")
         .agg(F.sum("size").alias("source_size"))
     )
+    sizes = stage(sizes, "mix-sources")
+    measured = sizes.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 32).alias("n")).first()
     targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_target_source")
+    if (measured.n or 0) <= BROADCAST_BYTES:
+        targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate)
     copies = whole + F.when(coin(F.col("doc_id"), seed) < rate - whole, 1).otherwise(0)
@@ -109,7 +119,7 @@ filled as (
       rows between current row and unbounded following))::double) as level
   from ranked),
 settled as (
-  select *, min(case when 3 * source_size >= level * weight then level end) over () as final from filled),
+  select *, max(case when 3 * source_size >= level * weight then level end) over () as final from filled),
 targets as (
   select source, source_size, least((3 * source_size)::double, weight * coalesce(final, 0.0::double))::double as target from settled),
 rated as (
