@@ -41,6 +41,7 @@ COVER = (1, 2, 4)
 ANCHOR = WINDOW - PERIOD + 1
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 _ROLL = [Roller(s) for s in (1, 2, 3, 4)]
+_ID, _TEXT, _BLOCK = "_sd_id", "_sd_text", "_sd_block"
 _RETURN = "block long, kind int, bucket long, bits binary"
 _ANCHORS = "block long, bucket long, keys binary, many binary"
 _WINDOWS = "block long, bucket long, keys binary, more binary, lows binary"
@@ -88,10 +89,10 @@ class _Block:
 
     def __init__(self, docs: pa.Table, buckets: int) -> None:
         self.buckets = buckets
-        order = np.argsort(docs.column("doc_id").to_numpy(), kind="stable")
-        docs = docs.take(pa.array(order))
-        self.ids = docs.column("doc_id").to_numpy()
-        self.column = docs.column("text")
+        docs = docs.take(pa.array(np.argsort(docs.column(_ID).to_numpy(), kind="stable")))
+        self.docs = docs
+        self.ids = docs.column(_ID).to_numpy()
+        self.column = docs.column(_TEXT)
         self.slices = []
         anchors, at, doc = [], [], []
         words0 = 0
@@ -177,7 +178,7 @@ _S_RETURN = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", p
 def _anchor_rows(buckets: int):
     def rows(docs: pa.Table) -> pa.Table:
         block = _Block(docs, buckets)
-        number = docs.column("block")[0].as_py()
+        number = docs.column(_BLOCK)[0].as_py()
         out: list[list] = [[], [], [], []]
         for bucket, part in block.by_bucket(block.anchors):
             out[0].append(number)
@@ -210,7 +211,7 @@ def _window_rows(buckets: int):
         if docs.num_rows and back.num_rows:
             block = _Block(docs, buckets)
             block.shared_windows(block.unpacked(back, 1, block.anchors))
-            number = docs.column("block")[0].as_py()
+            number = docs.column(_BLOCK)[0].as_py()
             for bucket, part in block.by_bucket(block.window_a):
                 out[0].append(number)
                 out[1].append(bucket)
@@ -237,80 +238,111 @@ def _owned_elsewhere(rows: pa.Table) -> pa.Table:
     return _table(_S_RETURN, [rows.column("block").to_pylist(), [2] * len(n), rows.column("bucket").to_pylist(), bits])
 
 
-_OUT = "doc_id long, row long, n_words long, n_removed long, kept_sha256 string, kept string"
+def _gone(block: _Block, back: pa.Table) -> np.ndarray:
+    """True at words of the block that some earlier document's window covers."""
+    gone = np.zeros(block.n_words + 1, dtype=np.int64)
+    if back.num_rows:
+        block.shared_windows(block.unpacked(back, 1, block.anchors))
+        elsewhere = block.unpacked(back, 2, block.window_a)
+        at = block.window_at[elsewhere[block.window_run] | (block.window_id > block.lows[block.window_run])]
+        np.add.at(gone, at, 1)
+        np.add.at(gone, np.minimum(at + WINDOW, block.n_words), -1)
+    return np.cumsum(gone) > 0
 
 
-def _marked(buckets: int, texts: bool):
-    """The last pass: per document, the words that stay."""
+def _digests(buckets: int):
+    """The last pass: per document, how much goes, and a digest of the words that stay."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def rows(docs: pa.Table, back: pa.Table) -> pa.Table:
-        ids, numbers, words, removed, shas, kept = [], [], [], [], [], []
+        out: list[list] = [[], [], [], []]
         if docs.num_rows:
             block = _Block(docs, buckets)
-            gone = np.zeros(block.n_words + 1, dtype=np.int64)
-            if back.num_rows:
-                block.shared_windows(block.unpacked(back, 1, block.anchors))
-                elsewhere = block.unpacked(back, 2, block.window_a)
-                hit = elsewhere[block.window_run] | (block.window_id > block.lows[block.window_run])
-                at = block.window_at[hit]
-                np.add.at(gone, at, 1)
-                np.add.at(gone, np.minimum(at + WINDOW, block.n_words), -1)
-            gone = np.cumsum(gone) > 0
+            gone = _gone(block, back)
             for row0, data, offsets, w, _, words0 in block.slices:
                 raw = data.tobytes()
                 for i in range(len(offsets) - 1):
                     lo, hi = w.bounds[i], w.bounds[i + 1]
                     g = gone[words0 + lo : words0 + hi]
-                    words.append(hi - lo)
-                    removed.append(int(g.sum()))
-                    ids.append(block.ids[row0 + i])
-                    text = raw[offsets[i] : offsets[i + 1]]
-                    if removed[-1]:
+                    removed = int(g.sum())
+                    if removed:
                         left = np.flatnonzero(~g) + lo
-                        sha = hashlib.sha256(b" ".join([raw[x:y] for x, y in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True)]))
-                        if texts:
-                            # whole stretches between removals, with the white space inside them
-                            cut = _runs(np.arange(len(left)) - left)
-                            text = b"\n".join(raw[w.starts[left[x]] : w.ends[left[y - 1]]] for x, y in zip(cut, _ends(cut, len(left)), strict=True))
+                        kept = b" ".join([raw[x:y] for x, y in zip(w.starts[left].tolist(), w.ends[left].tolist(), strict=True)])
                     else:
-                        sha = hashlib.sha256(b" ".join(text.split()))
-                    shas.append(sha.hexdigest())
-                    kept.append(text.decode("utf-8", "replace") if texts else None)
-            order = np.argsort(docs.column("doc_id").to_numpy(), kind="stable")
-            numbers = docs.column("row").to_numpy()[order]
-        schema = pa.schema(
-            [("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
-        )
-        return _table(schema, [ids, numbers, words, removed, shas, kept])
+                        kept = b" ".join(raw[offsets[i] : offsets[i + 1]].split())
+                    for column, x in zip(out, (block.ids[row0 + i], hi - lo, removed, hashlib.sha256(kept).hexdigest()), strict=True):
+                        column.append(x)
+        return _table(schema, out)
 
     return rows
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, blocks: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and, with ``texts``, kept: the text without the removed words).
+def _texts(buckets: int, text_col: str, names: list[str]):
+    """The last pass: the rows themselves, with the text that stays."""
 
-    kept_sha256 is over the kept words joined by one space. In ``kept``, stretches between removals keep
-    their white space and are joined by a line break; a document that loses nothing keeps its text as it is.
-    A null text has no words and, with ``texts``, becomes empty. Rows that repeat a doc_id are one document
-    for the order: none has a smaller doc_id than the other. Rows with a null doc_id come last in
-    order (as doc_id 2**63 - 1) and come back with null. An empty table gives an empty result; other columns are ignored.
-    """
+    def rows(docs: pa.Table, back: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return docs.select(names)
+        block = _Block(docs, buckets)
+        gone = _gone(block, back)
+        texts = block.column.to_pylist()
+        for row0, data, offsets, w, _, words0 in block.slices:
+            for i in range(len(offsets) - 1):
+                lo, hi = w.bounds[i], w.bounds[i + 1]
+                g = gone[words0 + lo : words0 + hi]
+                if g.any():
+                    left = np.flatnonzero(~g) + lo
+                    cut = _runs(np.arange(len(left)) - left)
+                    runs = zip(w.starts[left[cut]], w.ends[left[_ends(cut, len(left)) - 1]], strict=True)
+                    texts[row0 + i] = b"\n".join(data[x:y].tobytes() for x, y in runs).decode()
+        at = names.index(text_col)
+        out = block.docs.select(names)
+        return out.set_column(at, text_col, pa.array(texts, out.schema.field(at).type))
+
+    return rows
+
+
+def _last_pass(docs: DataFrame, id_col: str, text_col: str, blocks: int | None, texts: bool) -> DataFrame:
     n = blocks or pieces(docs)
-    last = 2**63 - 1
+    own = docs.columns if texts else []
     dealt = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(last)).alias("doc_id"),
-        F.col(text_col).cast("string").alias("text"),
-        F.lit(0).cast("long").alias("row"),
-    ).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    by_block = dealt.groupBy("block")
+        *own,
+        F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias(_ID),
+        F.col(text_col).cast("string").alias(_TEXT),
+    ).withColumn(_BLOCK, F.pmod(F.xxhash64(_ID), F.lit(n)))
+    by_block = dealt.groupBy(_BLOCK)
     anchors = by_block.applyInArrow(_anchor_rows(n), _ANCHORS)
     shared = anchors.groupBy("bucket").applyInArrow(_shared_anchors, _RETURN)
     windows = by_block.cogroup(shared.groupBy("block")).applyInArrow(_window_rows(n), _WINDOWS)
     owned = windows.groupBy("bucket").applyInArrow(_owned_elsewhere, _RETURN)
-    back = shared.union(owned)
-    out = by_block.cogroup(back.groupBy("block")).applyInArrow(_marked(n, texts), _OUT)
-    out = out.withColumn("doc_id", F.when(F.col("doc_id") != last, F.col("doc_id")))
-    return out.drop("row") if texts else out.drop("row", "kept")
+    back = by_block.cogroup(shared.union(owned).groupBy("block"))
+    if texts:
+        return back.applyInArrow(_texts(n, text_col, own), docs.schema)
+    return back.applyInArrow(_digests(n), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row; the digest is over the kept words joined by one space.
+
+    A null text has no words. Rows that repeat a doc_id are one document for the order: none has a smaller
+    doc_id than the other. Rows with a null doc_id come last in order (as doc_id 2**63 - 1) and come back
+    with null. An empty table gives an empty result; other columns are ignored.
+    """
+    out = _last_pass(docs, id_col, text_col, blocks, texts=False)
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != 2**63 - 1, F.col("doc_id")))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+    """The rows with their columns, the text without the removed words; n_chars, if there, follows it.
+
+    Stretches between removals keep their white space and are joined by a line break; a text that loses
+    nothing stays as it is, and one that loses all becomes empty. Null texts stay null.
+    """
+    out = _last_pass(docs, id_col, text_col, blocks, texts=True)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce(F.length(text_col).cast(kind), F.col("n_chars")))
+    return out
 
 
 ORACLE = r"""
