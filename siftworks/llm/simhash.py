@@ -120,24 +120,24 @@ def _signed(x: int) -> int:
 
 
 def _roots(fps: np.ndarray) -> np.ndarray:
-    """Index of the root of each fingerprint in its linked group; exact, in rows of bounded memory."""
-    parent = np.arange(len(fps))
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    step = max(1, (1 << 20) // max(1, len(fps)))
-    for lo in range(0, len(fps), step):
-        near = np.bitwise_count(fps[lo : lo + step, None] ^ fps[None, :]) <= RADIUS
-        for a, b in zip(*np.nonzero(near), strict=True):
-            if a + lo < b:
-                x, y = find(a + lo), find(b)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(len(fps))])
+    """Index of the root (the first member) of each fingerprint's linked group.
+
+    A search from each unreached member compares it with all that are still unreached: exact, and without
+    a list of pairs.
+    """
+    root = np.arange(len(fps))
+    left = np.arange(len(fps))
+    while len(left):
+        first, left = left[0], left[1:]
+        todo = [first]
+        while todo and len(left):
+            near = np.bitwise_count(fps[left] ^ fps[todo.pop()]) <= RADIUS
+            if near.any():
+                found = left[near]
+                root[found] = first
+                todo += found.tolist()
+                left = left[~near]
+    return root
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
