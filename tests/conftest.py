@@ -13,6 +13,7 @@ def spark():
     from siftworks.session import get_spark
 
     s = get_spark("tests", master="local[4]", shuffle_partitions=4)
+    s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
 
