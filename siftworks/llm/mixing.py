@@ -67,15 +67,15 @@ def mixed(
     weights: tuple[int, ...] = WEIGHTS,
     most: int = MOST,
     seed: str = SEED,
-    keep: tuple[str, ...] = (),
+    rows: bool = False,
 ) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of ``docs``, and the columns in ``keep``.
+    """doc_id, size, source_size, target, copies, taken for every row of ``docs``; with ``rows``, also row, all its columns.
 
     A null text has size 0; a null source is a source of its own, last in order; a null doc_id draws one
     fixed coin; rows repeated under one doc_id draw the same coin. Wordless sources have target 0. An
     empty table gives an empty result.
     """
-    own = [F.col(c) for c in keep if c not in ("doc_id",)]
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if rows else []
     sized = docs.select(F.col("doc_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("size"), *own)
     sizes = (
         docs.select("source", word_count(F.col("text")).alias("size"))
@@ -100,8 +100,8 @@ def mixed(
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns."""
-    taken = mixed(docs, keep=tuple(docs.columns), **how).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = mixed(docs, rows=True, **how).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 ORACLE = r"""

@@ -60,7 +60,7 @@ def test_against_brute_force(spark, name):
 
 def test_sources_come_near_their_targets(spark):
     rows = [(i, "w " * (1 + i % 50), "abc"[i % 3] if i % 9 else "d", 0) for i in range(6000)]
-    got = mixing.mixed(spark.createDataFrame(rows, SCHEMA), keep=("source",)).collect()
+    got = mixing.mixed(spark.createDataFrame(rows, SCHEMA), rows=True).select("row.source", "size", "taken", "target", "source_size").collect()
     for s in "abcd":
         own = [r for r in got if r.source == s]
         rate = own[0].target / own[0].source_size
