@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, warc
+from . import decontaminate, mixing, quality, url_filter, warc
 from . import substring_dedup as substrings
 from .html_text import extract_main_text
 from .simhash import simhash_components
@@ -30,6 +30,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    mined = url_filter.mine_rules(url_filter.labelled_urls(spark, pages, table(spark, sf_dir, "labels")))
+    return url_filter.judge(pages, mined)
+
+
 @query
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
