@@ -48,6 +48,15 @@ def unstage(df: DataFrame | None) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Send rows to Python in batches of a few megabytes, however long the texts are.
+
+    The default of 10,000 rows is some 30 MB of text, held several times over on both sides.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def pieces(df: DataFrame, least: int = 128) -> int:
     """Number of work blocks: follows the number of input splits, so a block's size stays the same at any scale."""
     spark = df.sparkSession

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import bounded_batches
 from ._text import Roller, Words, text_slices
 
 WINDOW = 13
@@ -211,6 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     schema = "doc_id long, item_id long, n_windows long, n_equal long"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     out = None
     for block in benchmark_blocks(benchmark):
@@ -235,6 +237,7 @@ def _clean(shared):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a match, with all their columns."""
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     for block in benchmark_blocks(benchmark):
         docs = docs.mapInArrow(_clean(sc.broadcast(block)), docs.schema)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import bounded_batches
+
 BLOCK = 3
 SURGE = 60
 
@@ -198,5 +200,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     A null or empty html gives an empty text; null ids and urls are kept; repeated rows are each extracted.
     An empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return own.mapInArrow(_batches, "page_id long, url string, text string, n_chars long")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import bounded_batches
 from ._features import SHARES, WIDTH, counts, transformed
 
 #: At most so many labelled rows are used to fit; their ids are broadcast (16 bytes each).
@@ -104,6 +105,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Discriminant:
     """Fit on a bounded sample; rows are put in order first, so reruns give the same model."""
+    bounded_batches(docs.sparkSession)
     rows = labelled(docs, labels, most).mapInArrow(_statistics, "doc_id long, y int, x array<double>").limit(4 * most).toArrow()
     y = np.asarray(rows.column("y").to_numpy(), dtype=np.int64)
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(len(y), 2 * len(SHARES) + 2)
@@ -128,6 +130,7 @@ def score_quality(docs: DataFrame, model: Discriminant) -> DataFrame:
     null doc_id is kept. With no usable labels, or fewer than 20 of a class, every score is the smoothed
     share of label 1. An empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = own.mapInArrow(_scorer(model), "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
@@ -143,4 +146,5 @@ def _keeper(model: Discriminant):
 
 def keep_good(docs: DataFrame, model: Discriminant) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(_keeper(model), docs.schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import stage
+from ._stage import bounded_batches, stage
 from ._text import Roller, Words, text_slices
 
 K1, B = 1.2, 0.75
@@ -132,6 +132,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """Shards of all rows, staged; null texts are documents without words."""
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stage(own.mapInArrow(_build, _INDEX), "bm25-index")
 

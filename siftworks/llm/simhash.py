@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import connected_components, stage, unstage
+from ._stage import bounded_batches, connected_components, stage, unstage
 
 RADIUS = 3
 SHINGLE = 3
@@ -83,6 +83,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         _fingerprint_batches, "doc_id long, fp long"
     )

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._stage import bounded_batches
 from ._text import Roller, Words, text_slices
 
 #: The default vocabulary, among the public ones in /opt/tokenizers; a parameter everywhere.
@@ -173,5 +174,6 @@ def count_tokens(docs: DataFrame, vocabulary: dict[str, float]) -> DataFrame:
     Null and empty texts have no tokens; a null doc_id is kept; repeated rows are each counted. An empty
     table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return own.mapInArrow(_counted(Counter(vocabulary)), "doc_id long, n_words long, n_tokens long")

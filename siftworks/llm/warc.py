@@ -42,7 +42,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from ._stage import stage, staged_path
+from ._stage import bounded_batches, stage, staged_path
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, record_date string, payload_digest string, "
@@ -366,6 +366,7 @@ def round_trip(pages: DataFrame, compression: str = "none") -> DataFrame:
     """
     spark = pages.sparkSession
     register(spark)
+    bounded_batches(spark)
     path = staged_path(spark, "warc")
     page_records(pages).write.format("warc").mode("append").option("compression", compression).save(path)
     back = spark.read.format("warc").load(path)
