@@ -1,3 +1,3 @@
 """Registered queries; importing the modules registers them."""
 
-from . import evaluation_queries, metric_queries, scan_queries  # noqa: F401
+from . import enrichment_queries, evaluation_queries, metric_queries, scan_queries  # noqa: F401
