@@ -32,12 +32,20 @@ def match(a, b):
     return ("exact" if equal else "reparameterised") if equal or literals >= min(D.LITERALS, len(a)) else None
 
 
+def shape(tokens):
+    return tuple(k or x for k, x in tokens)
+
+
 def brute(docs, items):
     out = []
+    parsed = [(j, template(item)) for j, item in items]
+    shapes = [{shape(b[q : q + min(13, len(b))]) for q in range(len(b) - min(13, len(b)) + 1)} for _, b in parsed]
     for i, text in docs:
         t = template(text)
-        for j, item in items:
-            b = template(item)
+        seen = {n: {shape(t[p : p + n]) for p in range(len(t) - n + 1)} for n in {min(13, len(b)) for _, b in parsed}}
+        for (j, b), own in zip(parsed, shapes, strict=True):
+            if not own & seen[min(13, len(b))]:
+                continue
             n = min(13, len(b))
             if not n or (n < D.SHORT and len(t) != n):
                 continue

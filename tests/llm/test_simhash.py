@@ -14,7 +14,8 @@ def brute_fp(text):
         return 0
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
     h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    h = np.array(h, dtype=np.uint64)
+    return sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
 
 
 def brute_components(rows):
