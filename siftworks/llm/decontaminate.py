@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches
-from ._text import Roller, Words, text_slices
+from ._text import Roller, Words, text_slices, trimmed
 
 WINDOW = 13
 LITERALS = 7
@@ -188,6 +188,7 @@ def benchmark_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[
 
 
 def _pairs(shared):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
         for b in batches:
@@ -224,6 +225,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _clean(shared):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench = shared.value
         for b in batches:

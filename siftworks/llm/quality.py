@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches
+from ._text import trimmed
 from ._features import SHARES, WIDTH, counts, transformed
 
 #: At most so many labelled rows are used to fit; their ids are broadcast (16 bytes each).
@@ -95,6 +96,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("int").alias("y"))
 
 
+@trimmed
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
@@ -115,6 +117,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -
 
 
 def _scorer(model: Discriminant):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = model.scores(b.column("text"))
@@ -137,6 +140,7 @@ def score_quality(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def _keeper(model: Discriminant):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array(model.scores(b.column("text")) >= CUT))

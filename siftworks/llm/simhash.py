@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches, connected_components, stage, unstage
+from ._text import trimmed
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
+#: Shingle hashes whose bits are counted at once; a count takes some 600 bytes for each.
+FLUSH = 20_000
 #: A group of one key with more distinct fingerprints is split by the next family of masks.
 HOT = 512
 
@@ -69,12 +72,13 @@ def fingerprints_of(texts: list[bytes | None]) -> np.ndarray:
             starts = (ends - lens)[: n - SHINGLE + 1].tolist()
             hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)]
             counts[i] = n - SHINGLE + 1
-        if len(hashes) > 200_000:
+        if len(hashes) > FLUSH:
             close(i + 1)
     close(len(texts))
     return out
 
 
+@trimmed
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = fingerprints_of(b.column(1).cast(pa.large_binary()).to_pylist()).view(np.int64)
@@ -141,6 +145,7 @@ def _roots(fps: np.ndarray) -> np.ndarray:
     return root
 
 
+@trimmed
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by (table, key): each run is a group; emits (fp, root fp) of linked fingerprints."""
     rest_t = rest_k = None
