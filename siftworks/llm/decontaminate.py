@@ -6,7 +6,8 @@ Windows of WINDOW template tokens of the benchmark are hashed into a table that
 windows of its documents (a broadcast hash join). Each hit is then checked token by token: literal words
 must be equal, and the slots consistent: one value of the benchmark stands for one value of the document
 and the other way round, per type. So the same question with other numbers or names is caught. Where a
-window holds fewer than LITERALS literal words, its shape says too little, and the slots must be equal.
+window holds fewer than LITERALS literal words, its shape says too little, and the slots must be equal. A
+second table holds the windows' plain lower-cased words, for passages whose case was changed.
 
 An item shorter than a window is one window as a whole; below SHORT tokens it counts only where it is
 the whole document.
@@ -95,14 +96,14 @@ class Tokens:
             self.kinds[digits[self.ends] > digits[self.starts]] = NUMBER
         self.template = np.where(self.kinds == LITERAL, self.hashes, _U(0x9E3779B97F4A7C15) * (self.kinds.astype(np.uint64) + _U(1)))
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of all windows of so many tokens, and their template hashes."""
+    def windows(self, length: int, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of so many tokens, and the hashes of their templates, or of their plain words."""
         n = np.diff(self.bounds)
         ok = np.ones(len(self.starts), dtype=bool)
         for k in range(1, length):
             ok[self.bounds[1:][n >= k] - k] = False
         p = np.flatnonzero(ok)
-        return p, _WINDOWS.ranges(self.template, p, p + length)
+        return p, _WINDOWS.ranges(self.hashes if plain else self.template, p, p + length)
 
     def value(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
@@ -137,14 +138,15 @@ class Benchmark:
         self.tokens = []
         for _, data, offsets in text_slices(pa.array(texts, pa.large_string()), most=2**62):
             self.tokens.append(Tokens(data, offsets))
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.tables: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         if not self.tokens:
             return
         t = self.tokens[0]
         sizes = np.diff(t.bounds)
         item_of = np.repeat(np.arange(len(sizes)), sizes)
-        for length in sorted({WINDOW} | {int(n) for n in sizes if 0 < n < WINDOW}):
-            p, h = t.windows(length)
+        lengths = sorted({WINDOW} | {int(n) for n in sizes if 0 < n < WINDOW})
+        for length, plain in [(n, x) for n in lengths for x in (False, True)]:
+            p, h = t.windows(length, plain)
             if length < WINDOW:
                 own = sizes[item_of[p]] == length
                 p, h = p[own], h[own]
@@ -152,13 +154,13 @@ class Benchmark:
                 order = np.argsort(h, kind="stable")
                 seen = np.zeros(1 << 20, dtype=bool)
                 seen[h >> _U(44)] = True
-                self.tables[length] = (h[order], p[order], item_of[p[order]], seen)
+                self.tables[length, plain] = (h[order], p[order], item_of[p[order]], seen)
 
     def hits(self, texts: Tokens) -> dict[tuple[int, int], list[int]]:
         """(row, item) to [windows of the row that match, of these with equal slots]."""
         out: dict[tuple[int, int], list[int]] = {}
-        for length, (hashes, at, items, seen) in self.tables.items():
-            p, h = texts.windows(length)
+        for (length, plain), (hashes, at, items, seen) in self.tables.items():
+            p, h = texts.windows(length, plain)
             maybe = np.flatnonzero(seen[h >> _U(44)])
             p, h = p[maybe], h[maybe]
             lo, hi = np.searchsorted(hashes, h, side="left"), np.searchsorted(hashes, h, side="right")
@@ -168,7 +170,11 @@ class Benchmark:
                 if length < SHORT and texts.bounds[row + 1] - texts.bounds[row] != length:
                     continue
                 for k in range(lo[f], hi[f]):
-                    ok, equal = consistent(self.tokens[0], int(at[k]), texts, int(p[f]), length)
+                    a, b = int(at[k]), int(p[f])
+                    ok, equal = consistent(self.tokens[0], a, texts, b, length)
+                    if plain:
+                        # only what the templates miss: the same words in another case
+                        ok, equal = not ok and all(self.tokens[0].value(a + x) == texts.value(b + x) for x in range(length)), True
                     if ok:
                         tally = out.setdefault((row, int(items[k])), [0, 0])
                         tally[0] += 1

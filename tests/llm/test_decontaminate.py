@@ -19,6 +19,10 @@ def template(text):
 
 
 def match(a, b):
+    return match_template(a, b) or ("exact" if [x for _, x in a] == [x for _, x in b] else None)
+
+
+def match_template(a, b):
     there, back, literals, equal = {}, {}, 0, True
     for (k, x), (l, y) in zip(a, b, strict=True):
         if k != l or (not k and x != y):
@@ -39,12 +43,14 @@ def shape(tokens):
 def brute(docs, items):
     out = []
     parsed = [(j, template(item)) for j, item in items]
+    plain = [{tuple(x for _, x in b[q : q + min(13, len(b))]) for q in range(len(b) - min(13, len(b)) + 1)} for _, b in parsed]
     shapes = [{shape(b[q : q + min(13, len(b))]) for q in range(len(b) - min(13, len(b)) + 1)} for _, b in parsed]
     for i, text in docs:
         t = template(text)
         seen = {n: {shape(t[p : p + n]) for p in range(len(t) - n + 1)} for n in {min(13, len(b)) for _, b in parsed}}
-        for (j, b), own in zip(parsed, shapes, strict=True):
-            if not own & seen[min(13, len(b))]:
+        words = {n: {tuple(x for _, x in t[p : p + n]) for p in range(len(t) - n + 1)} for n in seen}
+        for (j, b), own, raw in zip(parsed, shapes, plain, strict=True):
+            if not own & seen[min(13, len(b))] and not raw & words[min(13, len(b))]:
                 continue
             n = min(13, len(b))
             if not n or (n < D.SHORT and len(t) != n):
