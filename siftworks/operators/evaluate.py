@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPLITS = ("calibration", "test")
@@ -116,6 +116,6 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def best_per(df: DataFrame, by: str, value: str, position: str) -> DataFrame:
-    """Of each group the row with the largest value, the first in position on a tie."""
-    w = Window.partitionBy(by).orderBy(F.col(value).desc(), F.col(position))
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """Of each group the row with the largest value, the first in position on a tie; a grouped maximum."""
+    own = [F.col(c) for c in df.columns]
+    return df.groupBy(F.col(by).alias("_by")).agg(F.max_by(F.struct(*own), F.struct(F.col(value), -F.col(position))).alias("x")).select("x.*")

@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import numbered
+
 CAPACITY = 10_000
 
 
+def join_groups(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join on group keys, null a key like any other; without keys both are one row, or ``b`` is."""
+    if not by:
+        return a.crossJoin(F.broadcast(b))
+    renamed = b.withColumnsRenamed({k: f"_by_{k}" for k in by})
+    return a.join(renamed, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_by_{k}")) for k in by])).drop(*[f"_by_{k}" for k in by])
+
+
 def order_statistics(df: DataFrame, value: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
-    """Values at ranks that are expressions over n, per group, without gathering a group in one task.
+    """Values at ranks that are expressions over n, per group, without gathering or ordering a group in one task.
 
-    Equal values are counted first (partial aggregation), so a window orders the distinct values of a group
-    with their counts; each rank falls into the interval of one value.
+    Equal values are counted first (partial aggregation). The distinct values are put in one global order of
+    range partitions with running counts; a group's own counts begin at its smallest running count, and each
+    rank falls into the interval of one value.
     """
     tally = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    spread = tally.select("*", upto.alias("_hi"), F.sum("_c").over(group).alias("n"))
-    picks = [F.max(F.when((r > F.col("_hi") - F.col("_c")) & (r <= F.col("_hi")), F.col(value))).alias(k) for k, r in ranks.items()]
+    keys = [*[F.col(k).asc_nulls_first() for k in by], F.col(value).asc()]
+    run = numbered(tally, *keys, name="_row", totals={"_hi": F.col("_c")})
+    groups = run.groupBy(*by).agg(F.min(F.col("_hi") - F.col("_c")).alias("_start"), F.sum("_c").alias("n"))
+    spread = join_groups(run, groups, by)
+    at = {k: F.col("_start") + r for k, r in ranks.items()}
+    picks = [F.max(F.when((r > F.col("_hi") - F.col("_c")) & (r <= F.col("_hi")), F.col(value))).alias(k) for k, r in at.items()]
     return spread.groupBy(*by).agg(*picks)
 
 
@@ -33,8 +49,7 @@ def timing_metrics(df: DataFrame, value: str, by: list[str], capacity: int = CAP
     base = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("max")
     )
-    joined = base.join(ranks, by) if by else base.crossJoin(F.broadcast(ranks))  # one row each without groups
-    return joined.select(
+    return join_groups(base, ranks, by).select(
         *by, "n", (F.col("n") <= capacity).alias("quantiles_exact"), "min", "mean",
         F.round((F.col("_lo") + F.col("_hi2")) / 2, 6).alias("p50"), "p95_floor", "p95_ceil", "max",
     )
