@@ -41,6 +41,8 @@ MARKS = set(
     "recommended recommendations teaser teasers widget widgets toolbar login search pagination pager pagenav copyright legal skip paywall".split()
 )
 TOP_MARKS = {"header", "masthead", "topbar", "hero"}
+#: With one of these words, a class tells how the page is laid out: has-sidebar is not a sidebar.
+LAYOUT, LAID_OUT = {"has", "with", "no", "without", "layout"}, {"sidebar", "side", "rail", "nav", "ad", "ads", "banner"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
@@ -60,6 +62,8 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
     if found.get("role", "").lower() in ROLES:
         return True
     words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
+    if words & LAYOUT:
+        words -= LAID_OUT
     if name in ("article", "main"):
         return bool(words & {"comment", "comments", "reply", "teaser", "related", "ad", "advert", "promo"})
     return bool(words & MARKS) or (not inside and bool(words & TOP_MARKS))

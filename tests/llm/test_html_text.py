@@ -12,6 +12,7 @@ CASES = {
     "references": (f"<article><p>&lt;b&gt; &#233;&#x41; &quot;q&quot; &amp;amp; {LONG}</p></article>", f'<b> éA "q" &amp; {LONG}'),
     "comments and raw text": (f"<article><!-- <p>no</p> --><p>{LONG}<!-- x --></p><script>if (a<b) {{ '<p>no</p>' }}</script><noscript><p>no</p></noscript><p>yes</p></article>", f"{LONG}\n\nyes"),
     "hidden": (f"<article><p>{LONG}</p><p hidden>no</p><div style='display: none'>no</div><p>yes</p></article>", f"{LONG}\n\nyes"),
+    "layout words": (f"<body class='x'><div class='wrap has-sidebar'><div id='post-1'><p>{LONG}</p></div><div class='sidebar'>{LONG}</div></div></body>", LONG),
     "null": (None, ""),
     "empty": ("", ""),
     "no text": ("<html><body><nav>x</nav></body></html>", ""),
