@@ -294,7 +294,7 @@ def _texts(buckets: int, text_col: str, names: list[str]):
                     left = np.flatnonzero(~g) + lo
                     cut = _runs(np.arange(len(left)) - left)
                     runs = zip(w.starts[left[cut]], w.ends[left[_ends(cut, len(left)) - 1]], strict=True)
-                    texts[row0 + i] = b"\n".join(data[x:y].tobytes() for x, y in runs).decode()
+                    texts[row0 + i] = b"\n".join(data[x:y].tobytes() for x, y in runs).decode("utf-8", "replace")
         at = names.index(text_col)
         out = block.docs.select(names)
         return out.set_column(at, text_col, pa.array(texts, out.schema.field(at).type))

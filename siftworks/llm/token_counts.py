@@ -154,7 +154,7 @@ def _counted(counter: Counter):
                 raw = data.tobytes()
                 first = order[new]
                 starts, ends = w.starts[first], w.ends[first]
-                counts = known.look_up(h[new], lambda k: MARK + raw[starts[k] : ends[k]].decode())  # noqa: B023
+                counts = known.look_up(h[new], lambda k: MARK + raw[starts[k] : ends[k]].decode("utf-8", "replace"))  # noqa: B023
                 per_word = np.empty(len(h), dtype=np.int64)
                 per_word[order] = counts[np.cumsum(new) - 1]
                 sums = np.concatenate(([0], np.cumsum(per_word)))
