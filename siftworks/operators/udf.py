@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Protocol of adapters.
-PROTOCOL_VERSION = 1
+#: Protocol of adapters: the name is a parameter everywhere, the version is fixed.
+PROTOCOL, PROTOCOL_VERSION = "vision-adapter", 1
 
 
 class Scorer(Protocol):
@@ -70,7 +70,7 @@ def score_with(df: DataFrame, make: Callable[[], Scorer], payload: str, key: str
     return df.select(key, payload).mapInPandas(run, f"{key} {kind}, score double, error string")
 
 
-def response_code(response: str, request_id: str) -> str | None:
+def response_code(response: str, request_id: str, kind: str = "result", protocol: str = PROTOCOL) -> str | None:
     """The first failed check of an adapter's response line, in protocol order; None if all hold."""
 
     def refuse(_: str) -> None:
@@ -83,9 +83,9 @@ def response_code(response: str, request_id: str) -> str | None:
     if not isinstance(r, dict):
         return "not_an_object"
     for ok, code in (
-        (r.get("protocol") == "vision-adapter", "wrong_protocol"),
+        (r.get("protocol") == protocol, "wrong_protocol"),
         (r.get("version") == PROTOCOL_VERSION, "unsupported_version"),
-        (r.get("type") == "result", "wrong_type"),
+        (r.get("type") == kind, "wrong_type"),
         (r.get("request_id") == request_id, "wrong_request_id"),
         (isinstance(r.get("ok"), bool), "no_boolean_ok"),
     ):
@@ -97,14 +97,23 @@ def response_code(response: str, request_id: str) -> str | None:
 class MockAdapter:
     """A deterministic adapter: answers with the length and digest prefix of what it gets."""
 
+    def __init__(self, protocol: str = PROTOCOL) -> None:
+        self.protocol = protocol
+
     def call(self, request_id: str, payload: str) -> str:
         import hashlib
 
         out = {"length": len(payload), "prefix": hashlib.sha256(payload.encode()).hexdigest()[:8]}
-        return json.dumps({"protocol": "vision-adapter", "version": PROTOCOL_VERSION, "type": "result", "request_id": request_id, "ok": True, "outputs": out}, sort_keys=True)
+        return json.dumps({"protocol": self.protocol, "version": PROTOCOL_VERSION, "type": "result", "request_id": request_id, "ok": True, "outputs": out}, sort_keys=True)
+
+
+class Adapter(Protocol):
+    protocol: str
+
+    def call(self, request_id: str, payload: str) -> str: ...
 
 
-def call_adapter(df: DataFrame, make: Callable[[], MockAdapter], key: str, payload: str) -> DataFrame:
+def call_adapter(df: DataFrame, make: Callable[[], Adapter], key: str, payload: str) -> DataFrame:
     """(key, ok, code, outputs) for each row. The adapter lives for a task; a row that fails is an error row.
 
     A task that Spark repeats calls again; for calls at most once set spark.task.maxFailures to 1.
@@ -117,12 +126,15 @@ def call_adapter(df: DataFrame, make: Callable[[], MockAdapter], key: str, paylo
             for k, p in zip(b[key], b[payload], strict=True):
                 try:
                     line = adapter.call(str(k), p)
-                    code = response_code(line, str(k))
+                    code = response_code(line, str(k), protocol=adapter.protocol)
                     outputs = None if code else json.dumps(json.loads(line).get("outputs"), sort_keys=True)
                 except Exception as e:  # noqa: BLE001
                     code, outputs = type(e).__name__, None
                 out.append((k, code is None, code, outputs))
             yield pd.DataFrame(out, columns=[key, "ok", "code", "outputs"])
+        close = getattr(adapter, "close", None)
+        if close:
+            close()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, payload).mapInPandas(run, f"{key} {kind}, ok boolean, code string, outputs string")
