@@ -108,7 +108,9 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Discriminant:
     """Fit on a bounded sample; rows are put in order first, so reruns give the same model."""
     bounded_batches(docs.sparkSession)
-    rows = labelled(docs, labels, most).mapInArrow(_statistics, "doc_id long, y int, x array<double>").limit(4 * most).toArrow()
+    # an ordered limit runs as one job, and takes the same rows each time should repeated rows exceed it
+    own = labelled(docs, labels, most).mapInArrow(_statistics, "doc_id long, y int, x array<double>")
+    rows = own.orderBy("doc_id", "x").limit(4 * most).toArrow()
     y = np.asarray(rows.column("y").to_numpy(), dtype=np.int64)
     x = np.array(rows.column("x").to_pylist(), dtype=float).reshape(len(y), 2 * len(SHARES) + 2)
     order = np.lexsort((*x.T, y, rows.column("doc_id").to_numpy()))

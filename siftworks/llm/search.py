@@ -7,7 +7,8 @@ and for each block it occurs in the largest term score there.
 Search of one query in one shard: the sum of the terms' largest scores bounds the shard, the sums of block
 maxima bound each block. Blocks are taken by falling bound; once k documents are known, blocks whose
 bound is below the k-th score are never scored. The bounds hold for every document, so the result is exact.
-The k best so far are carried from shard to shard inside a task, so later shards are pruned harder. Scores
+One shard in SEEDS is searched first: the k-th score there is a floor for the whole collection, from which
+every task starts; inside a task the k best so far are carried from shard to shard as well. Scores
 use statistics of the whole collection, so the tasks' lists merge exactly. Ties go to the smaller doc_id.
 
 Scale: the index is built in one pass without a shuffle and staged in the shared folder; document
@@ -34,6 +35,9 @@ BLOCK = 64
 SHARD_BYTES = 8 << 20
 SHARD_DOCS = 60_000
 BLOCK_BYTES = 8 << 20
+#: One shard in so many is searched first, for the scores below which no document can be among the k best.
+SEEDS = 8
+_HITS = "query_id long, doc_id long, score double"
 NO_ID = -(2**63)
 _ROLL = Roller(41)
 _LOWERED = np.arange(256, dtype=np.uint8)
@@ -173,15 +177,17 @@ class Shard:
         self.term_max = np.maximum.reduceat(self.run_max, self.term_runs[:-1])
         self.n_blocks = -(-len(self.ids) // BLOCK)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of ``best`` (scores, ids; in order) and this shard."""
+    def search(
+        self, terms: np.ndarray, weights: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int, floor: float = 0.0
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of ``best`` (scores, ids; in order) and this shard, without those that score below ``floor``."""
         if not len(self.terms):
             return best
         at = np.searchsorted(self.terms, terms)
         at[at == len(self.terms)] = 0
         have = self.terms[at] == terms
         at, weights = at[have], weights[have]
-        least = best[0][k - 1] if len(best[0]) >= k else 0.0
+        least = max(floor, best[0][k - 1]) if len(best[0]) >= k else floor
         if not len(at) or float(weights @ self.term_max[at]) * (1 + 1e-9) < least:
             return best
         lo, hi = self.term_runs[at], self.term_runs[at + 1]
@@ -208,7 +214,7 @@ class Shard:
             score = np.bincount(doc, self.impact[posting] * np.repeat(run_weight[use], size), len(self.ids))
             hit = np.flatnonzero(score >= max(least, 1e-300))
             best = _top(np.concatenate((best[0], score[hit])), np.concatenate((best[1], self.ids[hit])), k)
-            least = best[0][k - 1] if len(best[0]) >= k else 0.0
+            least = max(floor, best[0][k - 1]) if len(best[0]) >= k else floor
         return best
 
 
@@ -236,13 +242,13 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 def _searcher(shared, average: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries = shared.value
+        queries, floors = shared.value
         best = {q: (np.zeros(0), np.zeros(0, np.int64)) for q in queries}
         for b in batches:
             for i in range(b.num_rows):
                 shard = Shard(b.slice(i, 1).to_pylist()[0], average)
                 for q, (terms, weights) in queries.items():
-                    best[q] = shard.search(terms, weights, best[q], k)
+                    best[q] = shard.search(terms, weights, best[q], k, floors.get(q, 0.0))
         ids = [np.full(len(s), q) for q, (s, _) in best.items()]
         if ids:
             yield pa.RecordBatch.from_arrays(
@@ -272,6 +278,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = stage(words.join(df, "term").select("query_id", "term", (idf * F.col("times")).alias("weight")), "bm25-queries")
     blocks = -(-weighted.count() * 16 // BLOCK_BYTES)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
     out = None
     for i in range(blocks):
         rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
@@ -281,11 +288,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         q, t, w = q[order], t[order], w[order]
         first = _runs(q)
         block = {int(q[a]): (t[a:b], w[a:b]) for a, b in zip(first, first + _sizes(first, len(q)), strict=True)}
-        part = index.drop("n_docs", "n_words").mapInArrow(_searcher(spark.sparkContext.broadcast(block), average, k), "query_id long, doc_id long, score double")
+        shards = index.drop("n_docs", "n_words")
+        some = shards.where(F.pmod(F.xxhash64("ids"), F.lit(SEEDS)) == 0)
+        send = spark.sparkContext.broadcast
+        seed = some.mapInArrow(_searcher(send((block, {})), average, k), _HITS)
+        kth = seed.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        floors = dict(zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist(), strict=True))
+        part = shards.mapInArrow(_searcher(send((block, floors)), average, k), _HITS)
         out = part if out is None else out.union(part)
     if out is None:
-        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
+        out = spark.createDataFrame([], _HITS)
     ranked = out.withColumn("rank", rank).where(F.col("rank") <= k)
     doc = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), doc.alias("doc_id"), F.round("score", 6).alias("score"))
