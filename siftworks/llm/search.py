@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches, stage
-from ._text import Roller, Words, text_slices
+from ._text import Roller, Words, text_slices, trimmed
 
 K1, B = 1.2, 0.75
 TOP = 10
 BLOCK = 64
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 SHARD_DOCS = 60_000
 BLOCK_BYTES = 8 << 20
 #: One shard in so many is searched first, for the scores below which no document can be among the k best.
@@ -102,6 +102,7 @@ def _shard(ids: np.ndarray, column: pa.Array) -> dict:
     }
 
 
+@trimmed
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.binary()) for x in _INDEX.split(", ")])
     held: list[pa.Table] = []
@@ -141,6 +142,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     return stage(own.mapInArrow(_build, _INDEX), "bm25-index")
 
 
+@trimmed
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for terms, offsets in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -148,6 +150,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, dtype=np.int64)), pa.array(df)], names=["term", "df"])
 
 
+@trimmed
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         term, row, tf, _ = bags(b.column(1))
@@ -196,7 +199,7 @@ class Shard:
         block = self.run_block[runs]
         bound = np.bincount(block, self.run_max[runs] * run_weight, self.n_blocks) * (1 + 1e-9)
         todo = bound > 0
-        for step in (4, 32, None):
+        for step in (None,) if least else (4, 32, None):  # without a floor yet, find one first
             todo &= bound >= least
             left = np.flatnonzero(todo)
             if not len(left):
@@ -241,6 +244,7 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 def _searcher(shared, average: float, k: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, floors = shared.value
         best = {q: (np.zeros(0), np.zeros(0, np.int64)) for q in queries}

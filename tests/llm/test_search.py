@@ -3,8 +3,6 @@ import random
 import re
 from collections import Counter
 
-import pytest
-
 from siftworks.llm import search as S
 
 
@@ -31,8 +29,7 @@ def brute(docs, queries, k):
     return sorted(out, key=lambda r: r[:2])
 
 
-@pytest.mark.parametrize("shard", [S.SHARD_BYTES, 2000])
-def test_against_brute_force(spark, shard, monkeypatch):
+def test_against_brute_force(spark):
     rng = random.Random(4)
     vocabulary = [f"W{i}" for i in range(300)]
     weights = [1 / (i + 1) for i in range(300)]
