@@ -2,9 +2,10 @@
 
 Markup is stripped to lines, one for each block element. A line weighs its text outside links; lines of
 page furniture (by element, role, class or id) weigh nothing. Weights are summed over sliding windows of
-BLOCK lines: the text begins where a sum surges over SURGE and ends where it dives to zero, and of all
-such stretches the heaviest is kept. If it lies in an article or main element, it is widened to that
-element, so that short paragraphs at its ends stay; else headings just before it are added.
+BLOCK lines: a stretch of text begins where a sum surges over SURGE and ends where it dives to zero. If the
+heaviest stretch lies in an article or main element, the text is that element, so that short paragraphs at
+its ends stay. Else it goes from the first surge to the last dive, with what lies between, and is widened to
+short lines of the containers at its ends and to headings just before it; a copyright line may not end it.
 
 Scale: one pass, a page at a time, no shuffle; a page's work is linear in its length.
 """
@@ -23,6 +24,8 @@ from ._stage import bounded_batches
 
 BLOCK = 3
 SURGE = 60
+#: Containers below so many are not told apart.
+DEEPEST = 64
 
 #: Element names of HTML by their part on a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp", "noembed", "noframes"}
@@ -75,6 +78,8 @@ class _Lines:
         self.weight: list[int] = []
         self.home: list[int] = []
         self.heading: list[bool] = []
+        self.boxes: list[tuple[int, ...]] = []
+        self.path: tuple[int, ...] = ()
         self._now: list[str] = []
         self._links = 0
 
@@ -91,14 +96,18 @@ class _Lines:
                 self.weight.append(max(0, len(line) - self._links))
                 self.home.append(home)
                 self.heading.append(heading)
+                self.boxes.append(self.path)
             self._now, self._links = [], 0
 
 
 def lines_of(page: str) -> _Lines:
-    """The page's lines outside furniture, with weights; home: number of the article or main element, 0 for none."""
+    """The page's lines outside furniture, with weights.
+
+    home: number of the article or main element, 0 for none; boxes: numbers of the open containers but html and body.
+    """
     out = _Lines()
-    stack: list[tuple[str, bool, int]] = []  # element, in furniture, home
-    furniture, home, homes, links, heading = False, 0, 0, 0, False
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, in furniture, home, boxes
+    furniture, home, homes, links, heading, opened = False, 0, 0, 0, False, 0
     at = 0
     n = len(page)
     while at < n:
@@ -130,11 +139,15 @@ def lines_of(page: str) -> _Lines:
                 if closing:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == name:
-                            _, furniture, home = stack[k]
+                            _, furniture, home, out.path = stack[k]
                             del stack[k:]
                             break
                 elif not m[3].rstrip().endswith("/"):
-                    stack.append((name, furniture, home))
+                    stack.append((name, furniture, home, out.path))
+                    if name not in ("html", "body"):
+                        opened += 1
+                        # the tree's depth is bounded, so that a page of unclosed elements stays linear
+                        out.path = (*out.path, opened) if len(out.path) < DEEPEST else out.path
                     if not furniture:
                         furniture = _is_furniture(name, m[3], home > 0)
                         if not furniture and (name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main", m[3])):
@@ -152,6 +165,24 @@ def lines_of(page: str) -> _Lines:
     return out
 
 
+_COPYRIGHT = re.compile(r"©|\(c\)|copyright\b", re.I)
+
+
+def _widened(lines: _Lines, start: int, stop: int) -> tuple[int, int]:
+    """The stretch with lines of text that its end lines' containers hold around it; of html and body, only their own."""
+    home = lines.home[start]
+
+    def edge(at: int, step: int) -> int:
+        box, out, k = lines.boxes[at], at, at + step
+        while 0 <= k < len(lines.text) and lines.home[k] == home and (lines.boxes[k][: len(box)] == box if box else not lines.boxes[k]):
+            if lines.weight[k]:
+                out = k
+            k += step
+        return out
+
+    return edge(start, -1), edge(stop - 1, 1) + 1
+
+
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by an empty line; empty for null, empty and textless pages."""
     if not page:
@@ -162,6 +193,7 @@ def main_text(page: str | None) -> str:
         return ""
     sums = [sum(lines.weight[i : i + BLOCK]) for i in range(n)]
     best, weight, i = (0, n), -1, 0
+    surges: list[tuple[int, int]] = []
     while i < n:
         if sums[i] <= SURGE:
             i += 1
@@ -172,6 +204,7 @@ def main_text(page: str | None) -> str:
         stop = start
         while stop < n and sums[stop] > 0:
             stop += 1
+        surges.append((start, stop))
         total = sum(lines.weight[start:stop])
         if total > weight:
             best, weight = (start, stop), total
@@ -184,9 +217,16 @@ def main_text(page: str | None) -> str:
     if home:
         keep = [k for k in range(n) if lines.home[k] == home]
     else:
+        if surges:
+            loose = [x for x in surges if not all(lines.home[x[0] : x[1]])]
+            start, stop = _widened(lines, loose[0][0], loose[-1][1])
         while start and lines.heading[start - 1]:
             start -= 1
-        keep = [k for k in range(start, stop) if not re.match(r"(©|\(c\)|copyright\b)", lines.text[k], re.I)]
+        keep = list(range(start, stop))
+        while keep and _COPYRIGHT.match(lines.text[keep[-1]]):
+            if lines.text[keep[-1]][:3] == "(c)" and len(keep) > 1 and lines.text[keep[-2]].startswith("(b)"):
+                break  # an item of a list
+            keep.pop()
     return "\n\n".join(lines.text[k] for k in keep)
 
 

@@ -39,3 +39,20 @@ def test_rows(spark):
     want = CASES["article"][1]
     assert got == [(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (2, "v", "é", 1)]
     assert extract_main_text(df.limit(0)).collect() == []
+
+
+BARE = {
+    "links in mid-article": (f"<div><p>{LONG}</p><ul>" + "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(4)) + f"</ul><p>{LONG} 2</p></div>", f"{LONG}\n\nLink 0\n\nLink 1\n\nLink 2\n\nLink 3\n\n{LONG} 2"),
+    "short lead": (f"<div><p>A lead.</p><p>Two.</p><p>Three.</p><p>Four.</p><p>{LONG}</p></div>", f"A lead.\n\nTwo.\n\nThree.\n\nFour.\n\n{LONG}"),
+    "short lines after links": (f"<div><p>{LONG}</p><ul>" + "<li><a href=x>Link</a></li>" * 3 + "</ul><p>The end.</p></div>", f"{LONG}\n\nLink\n\nLink\n\nLink\n\nThe end."),
+    "enumeration": (f"<div><p>{LONG}</p><p>(a) one</p><p>(b) two</p><p>(c) three</p><p>Copyright law is old.</p><p>{LONG}</p></div>", f"{LONG}\n\n(a) one\n\n(b) two\n\n(c) three\n\nCopyright law is old.\n\n{LONG}"),
+    "enumeration at the end": (f"<div><p>{LONG}</p><p>(a) one</p><p>(b) two</p><p>(c) three</p></div>", f"{LONG}\n\n(a) one\n\n(b) two\n\n(c) three"),
+    "copyright at the end": (f"<div><p>{LONG}</p></div><p>(c) 2024 Someone</p><p>\u00a9 Someone</p>", LONG),
+    "links beside": (f"<div><a href=x>Home</a></div><div><p>{LONG}</p></div><div><a href=x>More</a></div>", LONG),
+}
+
+
+@pytest.mark.parametrize("name", BARE)
+def test_pages_without_article(name):
+    page, want = BARE[name]
+    assert main_text(page) == want
