@@ -5,9 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from ._text import Roller, Words, text_slices
+from ._text import Words, text_slices, word_hashes
 
-_ROLL = Roller(11)
 
 
 def _flags(chars: str) -> np.ndarray:
@@ -84,14 +83,14 @@ def counts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray,
 
         alnum, upper, lower = (np.concatenate(([0], np.cumsum(m[data], dtype=np.int64))) for m in (_ALNUM, _UPPER, _LOWER))
         letters = by_byte(_UPPER) + by_byte(_LOWER)
-        hashes = _ROLL.words(data, w.starts, w.ends)
+        hashes = word_hashes(data, w.starts, w.ends, 11)
         distinct, most = _distinct(hashes, doc, n)
         twin = np.zeros(len(w), dtype=bool)
         twin[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
         edges = np.union1d(offsets, np.flatnonzero(data == 10) + 1)
         at = np.searchsorted(offsets, edges[:-1], side="right") - 1
         lines = np.bincount(at, minlength=n)
-        different = _distinct(_ROLL.words(data, edges[:-1], edges[1:]), at, n)[0]
+        different = _distinct(word_hashes(data, edges[:-1], edges[1:], 11), at, n)[0]
         ends_in = data[w.ends - 1]
         part.append(
             np.stack(

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches
-from ._text import Roller, Words, text_slices, trimmed
+from ._text import Roller, Words, text_slices, trimmed, word_hashes
 
 WINDOW = 13
 LITERALS = 7
@@ -43,7 +43,7 @@ UNITS = (
 ).split()
 
 LITERAL, NUMBER, UNIT, NAME = range(4)
-_ROLL, _WINDOWS = Roller(21), Roller(22)
+_SEED, _WINDOWS = 21, Roller(22)
 _U = np.uint64
 
 _ALNUM = np.zeros(256, dtype=bool)
@@ -58,7 +58,7 @@ _LOWERED[65:91] += 32
 def _word_hash(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), dtype=np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
-    return _ROLL.words(data, ends - [len(w.encode()) for w in words], ends)
+    return word_hashes(data, ends - [len(w.encode()) for w in words], ends, _SEED)
 
 
 _UNIT_HASHES = np.sort(_word_hash(UNITS))
@@ -86,7 +86,7 @@ class Tokens:
         capital = (data >= 65) & (data <= 90)
         capital[wide] = True
         digits = np.concatenate(([0], np.cumsum(_DIGIT[data], dtype=np.int64)))
-        self.hashes = _ROLL.words(self.data, self.starts, self.ends)
+        self.hashes = word_hashes(self.data, self.starts, self.ends, _SEED)
         self.kinds = np.zeros(len(self.starts), dtype=np.uint8)
         if len(self.starts):
             self.kinds[capital[self.starts]] = NAME

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches, stage
-from ._text import Roller, Words, text_slices, trimmed
+from ._text import Words, text_slices, trimmed, word_hashes
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -39,7 +39,7 @@ BLOCK_BYTES = 8 << 20
 SEEDS = 8
 _HITS = "query_id long, doc_id long, score double"
 NO_ID = -(2**63)
-_ROLL = Roller(41)
+_SEED = 41
 _LOWERED = np.arange(256, dtype=np.uint8)
 _LOWERED[65:91] += 32
 
@@ -67,7 +67,7 @@ def bags(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np
     terms, rows, lens = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for row0, data, offsets in text_slices(column):
         w = Words(data, offsets)
-        terms.append(_ROLL.words(_LOWERED[data], w.starts, w.ends))
+        terms.append(word_hashes(_LOWERED[data], w.starts, w.ends, _SEED))
         rows.append(w.doc_of_word() + row0)
         lens.append(np.diff(w.bounds))
     term, row = np.concatenate(terms), np.concatenate(rows)

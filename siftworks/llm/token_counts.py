@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches
-from ._text import Roller, Words, text_slices
+from ._text import Words, text_slices, word_hashes
 
 #: The default vocabulary, among the public ones in /opt/tokenizers; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -35,7 +35,7 @@ MOST_KNOWN = 1 << 21
 MARK = "▁"
 #: Score of each byte of a character that starts no piece.
 UNKNOWN = -40.0
-_ROLL = Roller(31)
+_SEED = 31
 
 
 def read_vocabulary(path: str = VOCABULARY, most: int = MOST_VOCABULARY) -> dict[str, float]:
@@ -146,7 +146,7 @@ def _counted(counter: Counter):
             words: list[np.ndarray] = []
             for _, data, offsets in text_slices(b.column(1)):
                 w = Words(data, offsets)
-                hashes = _ROLL.words(data, w.starts, w.ends)
+                hashes = word_hashes(data, w.starts, w.ends, _SEED)
                 order = np.argsort(hashes, kind="stable")
                 h = hashes[order]
                 new = np.ones(len(h), dtype=bool)

@@ -50,13 +50,42 @@ def test_against_brute_force(spark, seed, blocks):
     assert plain(D.substring_dedup(df, blocks=blocks).collect()) == plain(brute(rows))
 
 
+@pytest.mark.parametrize(("blocks", "fan"), [(16, 4), (7, 3), (9, 2)])
+def test_relays_against_brute_force(spark, blocks, fan):
+    rows = corpus(blocks)
+    df = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    assert plain(D.substring_dedup(df, blocks=blocks, fan=fan).collect()) == plain(brute(rows))
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_words_that_a_power_of_two_modulus_confuses(spark):
+    one = thue_morse(10)
+    other = one.translate(str.maketrans("ab", "ba"))
+    around = [f"w{i}" for i in range(12)]
+    rows = [(1, " ".join([*around, one])), (2, " ".join([*around, other])), (3, " ".join([*around, one]))]
+    got = {r.doc_id: r.n_removed for r in D.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), blocks=2).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_null_ids_and_repeated_rows_are_dealt_over_blocks(spark):
+    rows = [(None, f"t{k % 5} " * 20) for k in range(40)] + [(7, f"r{k % 3} " * 20) for k in range(30)] + [(9, "t1 " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "text")
+    assert plain(D.substring_dedup(df, blocks=8).collect()) == plain(brute(rows))
+
+
 def test_kept_texts_and_other_columns(spark):
     shared = " ".join(f"s{i}" for i in range(20))
     rows = [(2, f"before it\n\n{shared} after  it", "b", 0), (1, shared, "a", 0), (3, shared, "c", 0), (4, None, "d", 9), (5, "as  it\twas ", "e", 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").selectExpr("*", "source as block", "source as id", "n_chars as row", "struct(source) as `a.b`")
     got = {r.doc_id: r for r in D.deduplicated(df, blocks=4).collect()}
     assert got[1].text == shared and got[2].text == "before it\nafter  it" and got[3].text == "" and got[4].text is None
-    assert got[5].text == "as  it\twas " and got[2].n_chars == len(got[2].text) and got[4].n_chars == 9 and got[2].source == "b"
+    assert got[5].text == "as  it\twas " and got[2].n_chars == len(got[2].text) and got[4].n_chars == 9 and got[2].source == got[2].block == got[2].id == got[2]["a.b"].source == "b" and got[4].row == 9
 
 
 def test_any_two_starts_share_a_cover_position():
