@@ -95,6 +95,19 @@ class Roller:
         return mix((sums[ends] - sums[starts]) * self.down[starts])
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ..., for each range in turn."""
+    out = np.ones(int(sizes.sum()), dtype=np.int64)
+    if not len(out):
+        return out
+    keep = sizes > 0
+    starts, sizes = starts[keep], sizes[keep]
+    out[0] = starts[0]
+    ends = np.cumsum(sizes)[:-1]
+    out[ends] = starts[1:] - starts[:-1] - sizes[:-1] + 1
+    return np.cumsum(out)
+
+
 class Words:
     """Words of some texts: byte ranges in ``data``, and ``bounds``: text i has the words bounds[i]:bounds[i+1]."""
 

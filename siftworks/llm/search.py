@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._stage import bounded_batches, stage
-from ._text import Words, text_slices, trimmed, word_hashes
+from ._text import Words, ranges, text_slices, trimmed, word_hashes
 
 K1, B = 1.2, 0.75
 TOP = 10
@@ -194,7 +194,7 @@ class Shard:
         if not len(at) or float(weights @ self.term_max[at]) * (1 + 1e-9) < least:
             return best
         lo, hi = self.term_runs[at], self.term_runs[at + 1]
-        runs = _ranges(lo, hi - lo)
+        runs = ranges(lo, hi - lo)
         run_weight = np.repeat(weights, hi - lo)
         block = self.run_block[runs]
         bound = np.bincount(block, self.run_max[runs] * run_weight, self.n_blocks) * (1 + 1e-9)
@@ -212,7 +212,7 @@ class Shard:
             use = now[block]
             r = runs[use]
             size = self.run_size[r]
-            posting = _ranges(self.run_start[r], size)
+            posting = ranges(self.run_start[r], size)
             doc = self.docs[posting]
             score = np.bincount(doc, self.impact[posting] * np.repeat(run_weight[use], size), len(self.ids))
             hit = np.flatnonzero(score >= max(least, 1e-300))
@@ -221,19 +221,6 @@ class Shard:
         return best
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0]+1, ..., for each range in turn."""
-    out = np.ones(int(sizes.sum()), dtype=np.int64)
-    if not len(out):
-        return out
-    keep = sizes > 0
-    starts, sizes = starts[keep], sizes[keep]
-    out[0] = starts[0]
-    ends = np.cumsum(sizes)[:-1]
-    out[ends] = starts[1:] - starts[:-1] - sizes[:-1] + 1
-    return np.cumsum(out)
-
-
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(score) > 4 * k:
         cut = np.partition(score, len(score) - k)[len(score) - k]

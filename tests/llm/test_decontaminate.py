@@ -6,59 +6,52 @@ import pytest
 from siftworks.llm import decontaminate as D
 
 
+def lower(word):
+    return "".join(c.lower() if ord(c) < 2048 and len(c.lower().encode()) == len(c.encode()) else c for c in word)
+
+
 def template(text):
     out = []
     for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
         w = re.sub(r"^[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x00-\x1f]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x00-\x1f]+$", "", w)
         if not w:
             continue
-        low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: m[0].lower(), w)
-        kind = "n" if re.search("[0-9]", w) else "u" if low in D.UNITS else "N" if re.match("[A-ZÀ-ÖØ-Þ]", w) else ""
+        low = lower(w)
+        kind = "n" if re.search("[0-9]", w) or low in D.NUMBERS else "u" if low in D.UNITS else "N" if lower(w[0]) != w[0] else ""
         out.append((kind, low))
     return out
 
 
 def match(a, b):
-    return match_template(a, b) or ("exact" if [x for _, x in a] == [x for _, x in b] else None)
+    if [x for _, x in a] == [x for _, x in b]:
+        return "exact"
+    caseless = [[(k if k in ("n", "u") else "", x) for k, x in w] for w in (a, b)]
+    return match_template(a, b) or match_template(*caseless)
 
 
 def match_template(a, b):
-    there, back, literals, equal = {}, {}, 0, True
+    there, literals = {}, 0
     for (k, x), (l, y) in zip(a, b, strict=True):
-        if k != l or (not k and x != y):
+        if k != l or (not k and x != y) or (k and there.setdefault((k, x), y) != y):
             return None
-        if not k:
-            literals += 1
-        else:
-            equal &= x == y
-            if there.setdefault((k, x), y) != y or back.setdefault((k, y), x) != x:
-                return None
-    return ("exact" if equal else "reparameterised") if equal or literals >= min(D.LITERALS, len(a)) else None
-
+        literals += not k
+    return "reparameterised" if literals >= D.LITERALS else None
 
-def shape(tokens):
-    return tuple(k or x for k, x in tokens)
 
-
-def brute(docs, items):
+def brute(docs, items, least=1):
     out = []
     parsed = [(j, template(item)) for j, item in items]
-    plain = [{tuple(x for _, x in b[q : q + min(13, len(b))]) for q in range(len(b) - min(13, len(b)) + 1)} for _, b in parsed]
-    shapes = [{shape(b[q : q + min(13, len(b))]) for q in range(len(b) - min(13, len(b)) + 1)} for _, b in parsed]
     for i, text in docs:
         t = template(text)
-        seen = {n: {shape(t[p : p + n]) for p in range(len(t) - n + 1)} for n in {min(13, len(b)) for _, b in parsed}}
-        words = {n: {tuple(x for _, x in t[p : p + n]) for p in range(len(t) - n + 1)} for n in seen}
-        for (j, b), own, raw in zip(parsed, shapes, plain, strict=True):
-            if not own & seen[min(13, len(b))] and not raw & words[min(13, len(b))]:
-                continue
+        words = {x for _, x in t}
+        for j, b in parsed:
             n = min(13, len(b))
-            if not n or (n < D.SHORT and len(t) != n):
+            if not n or (n < least and len(t) != n) or sum(x in words for _, x in b) < min(n, D.LITERALS):
                 continue
             kinds = []
             for p in range(len(t) - n + 1):
                 hits = [m for q in range(len(b) - n + 1) if (m := match(b[q : q + n], t[p : p + n]))]
-                kinds += hits
+                kinds += sorted(hits)[:1]
             if kinds:
                 out.append((i, j, len(kinds), kinds.count("exact"), "exact" if "exact" in kinds else "reparameterised"))
     return out
@@ -67,6 +60,7 @@ def brute(docs, items):
 ITEMS = [
     (1, "Alice has 12 apples and gives 5 apples to Bob so how many apples does Alice have left after 3 days"),
     (2, "A train leaves at 9 and runs 60 km per hour for 2 hours before it stops and waits there for long"),
+    (7, "Ж Čas vital àé 8 mots qui restent toujours les mêmes dans la phrase finale ici"), (8, " ".join(str(k % 7) for k in range(40))),
     (3, "short item here"), (4, None), (5, ""), (6, "Élan vital àé 7 mots qui restent toujours les mêmes dans la phrase finale ici"),
     (1, "Alice has 12 apples and gives 5 apples to Bob so how many apples does Alice have left after 3 days"),
 ]
@@ -77,8 +71,14 @@ DOCS = [
     (13, "Carol has 40 pears and gives 9 apples to Dave so how many apples does Carol have left"),
     (14, "short item here"), (15, "a short item here"), (16, None), (17, ""), (None, ITEMS[1][1].upper()), (None, ITEMS[1][1]),
     (18, "élan vital àé 7 mots qui restent toujours les mêmes dans la phrase finale ici"), (19, "Élan vital ÀÉ 8 mots qui restent toujours les mêmes dans la phrase finale ici"),
-    (20, "-- ".join(["x"] * 20_000) + ' "' + ITEMS[0][1].replace(" ", "  \n") + '"'),
+    (20, "-- ".join(["x"] * 5_000) + ' "' + ITEMS[0][1].replace(" ", "  \n") + '"'),
     (10, "Intro words. " + ITEMS[0][1] + " and more."),
+    # two values that become one; number words; case and numbers at once; capitals of other scripts
+    (22, "Carol has 7 apples and gives 7 apples to Dave so how many apples does Carol have left after 7 days"),
+    (23, "A train leaves at nine and runs sixty km per hour for two hours before it stops and waits there for long"),
+    (24, ITEMS[0][1].replace("12", "80").replace("5", "6").upper()),
+    (25, "\u010capek \u0141\u00f3d\u017a \u0416\u0437 vital \u00e0\u00e9 7 mots qui restent toujours les m\u00eames dans la phrase finale ici"),
+    (26, " ".join(str(k % 7) for k in range(300))),
     # another word in the middle of every window
     (21, "Alice has 12 apples and gives 5 apples for Bob so how many apples does Alice have left after 3 hours"),
 ]
@@ -96,11 +96,28 @@ def plain(rows):
 
 @pytest.mark.parametrize("most", [D.BLOCK_BYTES, 60])
 def test_pairs_against_brute_force(spark, most, monkeypatch):
-    monkeypatch.setattr(D.benchmark_blocks, "__defaults__", (most,))
+    monkeypatch.setattr(D.benchmark_blocks, "__defaults__", (1, most))
     docs, items = frames(spark)
     want = brute(DOCS, ITEMS)
-    assert {(10, 1), (11, 1), (14, 3)} <= {w[:2] for w in want} and not {15, 16, 17, 21} & {w[0] for w in want}
+    assert {(10, 1), (11, 1), (14, 3), (15, 3), (22, 1), (23, 2), (24, 1), (25, 6), (25, 7), (26, 8)} <= {w[:2] for w in want} and not {16, 17, 21} & {w[0] for w in want}
     assert plain(D.contamination(docs, items).collect()) == plain(want)
+    want = brute(DOCS, ITEMS, 8)
+    assert (14, 3) in {w[:2] for w in want} and 15 not in {w[0] for w in want}
+    assert plain(D.contamination(docs, items, 8).collect()) == plain(want)
+
+
+def test_numbers_upon_numbers_end():
+    import time
+
+    import numpy as np
+
+    rng = random.Random(1)
+    numbers = [str(rng.randrange(50)) for _ in range(1_000_000)]
+    bench = D.Benchmark(list(range(1000)), [" ".join(numbers[k * 900 : k * 900 + 13]) for k in range(1000)])
+    data = np.frombuffer(" ".join(numbers).encode(), dtype=np.uint8)
+    start = time.monotonic()
+    row, item, n, equal = bench.hits(D.Tokens(data, np.array([0, len(data)])))
+    assert len(item) == 1000 and (n == equal).all() and time.monotonic() - start < 20
 
 
 def test_random_texts_against_brute_force(spark):
@@ -119,7 +136,7 @@ def test_clean_documents_stay(spark):
     assert got.columns == docs.columns
     assert sorted(r.doc_id for r in got.where("doc_id is not null").collect()) == sorted(i for i, _ in DOCS if i is not None and i not in bad)
     kept = {r.doc_id for r in got.collect()}
-    assert not kept & {10, 11, 14} and {15, 16, 17, 21} <= kept
+    assert not kept & {10, 11, 14, 15, 22, 23, 24} and {16, 17, 21} <= kept
 
 
 def test_empty_tables(spark):
