@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a default is set.
+    Where the session names none, a default is set, but only if driver and executors are one machine.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
@@ -19,11 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
         return have.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all machines share")
         named = "/tmp/checkpoints"
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths of staged tables that are still there, by application.
+_STAGED: dict[str, list[str]] = {}
+
+
 def staged_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -34,6 +40,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = staged_path(spark, name)
     df.write.parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path  # type: ignore[attr-defined]
     return out
@@ -43,9 +50,26 @@ def unstage(df: DataFrame | None) -> None:
     """Delete a staged table that no later step reads."""
     path = getattr(df, "_staged_at", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    own = _STAGED.get(spark.sparkContext.applicationId, [])
+    if path in own:
+        own.remove(path)
+
+
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Delete all staged tables of this application but ``keep``: for callers whose results are written.
+
+    A result that is not written yet may still read staged tables, so operators themselves only delete
+    what nothing reads any more.
+    """
+    for path in list(_STAGED.get(spark.sparkContext.applicationId, [])):
+        if path != getattr(keep, "_staged_at", None):
+            _delete(spark, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

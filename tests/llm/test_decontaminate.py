@@ -38,22 +38,34 @@ def match_template(a, b):
     return "reparameterised" if literals >= D.LITERALS else None
 
 
+def shapes(w):
+    return {("t", *(k or x for k, x in w)), ("c", *(k if k in ("n", "u") else x for k, x in w)), ("p", *(x for _, x in w))}
+
+
 def brute(docs, items, least=1):
+    """All pairs of windows, by way of what any match must share."""
     out = []
+    at = {}
     parsed = [(j, template(item)) for j, item in items]
+    for j, (_, b) in enumerate(parsed):
+        n = min(13, len(b))
+        for q in range(len(b) - n + 1 if n else 0):
+            for x in shapes(b[q : q + n]):
+                at.setdefault(x, []).append((j, q))
     for i, text in docs:
         t = template(text)
-        words = {x for _, x in t}
-        for j, b in parsed:
-            n = min(13, len(b))
-            if not n or (n < least and len(t) != n) or sum(x in words for _, x in b) < min(n, D.LITERALS):
+        kinds = {}
+        for n in {min(13, len(b)) for _, b in parsed} - {0}:
+            if n < least and len(t) != n:
                 continue
-            kinds = []
             for p in range(len(t) - n + 1):
-                hits = [m for q in range(len(b) - n + 1) if (m := match(b[q : q + n], t[p : p + n]))]
-                kinds += sorted(hits)[:1]
-            if kinds:
-                out.append((i, j, len(kinds), kinds.count("exact"), "exact" if "exact" in kinds else "reparameterised"))
+                hits = {}
+                for j, q in {y for x in shapes(t[p : p + n]) for y in at.get(x, [])}:
+                    if len(parsed[j][1][q : q + 13]) == n and (m := match(parsed[j][1][q : q + n], t[p : p + n])):
+                        hits[j] = min(m, hits.get(j, m))
+                for j, m in hits.items():
+                    kinds.setdefault(j, []).append(m)
+        out += [(i, parsed[j][0], len(ms), ms.count("exact"), "exact" if "exact" in ms else "reparameterised") for j, ms in kinds.items()]
     return out
 
 

@@ -60,9 +60,10 @@ def test_against_brute_force(spark, name):
 
 def test_sources_come_near_their_targets(spark):
     rows = [(i, "w " * (1 + i % 50), "abc"[i % 3] if i % 9 else "d", 0) for i in range(6000)]
-    got = mixing.mixed(spark.createDataFrame(rows, SCHEMA), rows=True).select("row.source", "size", "taken", "target", "source_size").collect()
+    source = {i: s for i, _, s, _ in rows}
+    got = [r for r in mixing.mixed(spark.createDataFrame(rows, SCHEMA)).collect()]
     for s in "abcd":
-        own = [r for r in got if r.source == s]
+        own = [r for r in got if source[r.doc_id] == s]
         rate = own[0].target / own[0].source_size
         sigma = (sum(r.size**2 for r in own) * (rate % 1) * (1 - rate % 1)) ** 0.5
         assert abs(sum(r.taken for r in own) - own[0].target) <= 4 * sigma + 1
@@ -73,5 +74,13 @@ def test_mix_repeats_rows(spark):
     rows = [(i, "w x", "ab"[i % 2], 0) for i in range(50)]
     df = spark.createDataFrame(rows, SCHEMA)
     want = {r.doc_id: r.copies for r in mixing.mixed(df).collect() if r.copies}
-    got = [r.doc_id for r in mixing.mix_documents(df).collect()]
+    rows = mixing.mix_documents(df).collect()
+    got = [r.doc_id for r in rows]
     assert {i: got.count(i) for i in set(got)} == want
+    assert all(sorted(r["copy"] for r in rows if r.doc_id == i) == list(range(1, n + 1)) for i, n in want.items())
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "s", 5)], SCHEMA).selectExpr("*", "1 as copy", "2 as row", "3 as target", "4 as target_source", "5 as copies", "6 as `x.y`", "7 as taken")
+    out = mixing.mix_documents(df)
+    assert out.columns == [*df.columns, "_copy"] and {tuple(r[: len(df.columns)]) for r in out.collect()} == {tuple(df.first())}

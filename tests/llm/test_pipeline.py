@@ -3,7 +3,7 @@
 import corpus_pipeline as P
 from siftworks.llm import quality as Q
 
-from . import test_decontaminate, test_mixing, test_simhash, test_substring_dedup
+from . import test_decontaminate, test_mixing, test_shingle_dedup
 
 
 def removed_text(rows):
@@ -32,19 +32,20 @@ def test_stages_and_result(spark, sf_dir):
     assert [n for n, _ in P.STAGES] == ["quality_filter", "simhash_dedup", "substring_dedup", "decontamination", "source_mix"]
     scores = {r.doc_id: r.score for r in Q.score_quality(docs, Q.fit_quality(docs, labels)).collect()}
     rows = [r for r in docs.collect() if scores[r.doc_id] >= 0.3]
-    comps = test_simhash.brute_components([(r.doc_id, r.text) for r in rows])
-    rows = [r for r, c in zip(rows, comps, strict=True) if r.doc_id == c[2]]
+    stay = set(test_shingle_dedup.brute([(r.doc_id, r.text) for r in rows]))
+    rows = [r for r in rows if (r.doc_id, r.text) in stay]
     kept = removed_text(rows)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     texts = [(r.doc_id, " ".join(kept[r.doc_id])) for r in rows]
     bad = {x[0] for x in test_decontaminate.brute(texts, items)}
     source = {r.doc_id: r.source for r in rows}
     left = [(i, t, source[i], 0) for i, t in texts if i not in bad]
-    want = sorted((i, size, taken) for i, size, _, _, taken in test_mixing.brute(left))
-    got = P.run(spark, sf_dir).collect()
-    assert {r.doc_id: r.text.split() for r in got} == {i: t.split() for i, t, _, _ in left if i in {r.doc_id for r in got}}
-    assert sorted((r.doc_id, r["size"], r.taken) for r in got) == [w for w in want if w[2] or w[0] in {r.doc_id for r in got}]
-    assert P.run.__doc__ and test_substring_dedup.brute
+    text = {i: t.split() for i, t, _, _ in left}
+    want = sorted((i, k, t.split()) for (i, t, _, _), (_, size, _, _, taken) in zip(left, test_mixing.brute(left), strict=True) for k in range(1, taken // max(size, 1) + 1))
+    out = P.run(spark, sf_dir)
+    assert out.columns == [*docs.columns, "copy"]
+    got = sorted((r.doc_id, r["copy"], r.text.split()) for r in out.collect())
+    assert [r for r in got if r[2]] == want and all(not text[i] for i, _, t in got if not t)
 
 
 def test_filtering_stages_return_the_columns_of_documents(spark, sf_dir):

@@ -51,6 +51,24 @@ def test_held_out_labels_are_never_read(spark):
     assert a.prior == b.prior and np.array_equal(a.means, b.means)
 
 
+def test_few_rows_of_a_class_are_enough(spark):
+    docs, labels = corpus()
+    known = dict((i, q) for i, q, _ in labels)
+    seen = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 5]
+    few = [x for x in seen if not x[1]][:3] + [x for x in seen if x[1]][:30]
+    df = spark.createDataFrame(docs, D)
+    rows = Q.score_quality(df, Q.fit_quality(df, spark.createDataFrame(few, L))).collect()
+    assert np.mean([r.predicted == known[r.doc_id] for r in rows if r.doc_id in known]) > 0.9
+
+
+def test_sample_is_bounded_for_each_class_and_the_prior_is_of_all(spark):
+    docs, labels = corpus()
+    df, ldf = spark.createDataFrame(docs + docs[:50], D), spark.createDataFrame(labels, L)
+    seen = [q for i, q, _ in labels if zlib.crc32(str(i).encode()) % 5]
+    assert len({r.doc_id for r in Q.labelled(df, ldf, 20).collect()}) == 20
+    assert Q.fit_quality(df, ldf, 20).prior == (sum(seen) + 1) / (len(seen) + 2)
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 1, 0), (2, 1, 0)]])
 def test_without_usable_labels_the_prior_is_the_score(spark, labels):
     df = spark.createDataFrame([(1, "a b", "x", 0.0), (2, None, "x", 0.0)], D)
@@ -83,6 +101,41 @@ def test_mahalanobis_by_cholesky_equals_the_density():
     assert np.allclose(m.scores(texts), 1 / (1 + np.exp(-odds)))
 
 
+def brute_counts(text):
+    """The shares of _features in plain Python: counts, totals, and (words, bytes in words)."""
+    from collections import Counter
+
+    raw = (text or "").encode()
+    words = raw.split()
+    lines = [x for x in raw.split(b"\n")[:-1]] + ([raw.split(b"\n")[-1]] if raw.split(b"\n")[-1] else [])
+    # the last line has no line break, so it differs from the same line with one
+    distinct = len({(x, k < raw.count(b"\n")) for k, x in enumerate(lines)})
+    among = lambda b, chars: b in chars.encode()
+    upper, lower, digit = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    plain, symbols = ".,;:'\"?-()", "#$%&*+/<=>@[\\]^_`{|}~!"
+    n = lambda chars: sum(among(b, chars) for b in raw)
+    ups = [sum(among(b, upper) for b in w) for w in words]
+    lows = [sum(among(b, lower) for b in w) for w in words]
+    part = [
+        n(upper), n(digit), n(plain), n(symbols), sum(among(w[-1], symbols) for w in words),
+        sum(not any(b >= 128 or among(b, upper + lower + digit) for b in w) for w in words),
+        sum(u > 1 and not lo for u, lo in zip(ups, lows, strict=True)), sum(among(w[-1], ".?!") for w in words), sum(len(w) <= 3 for w in words),
+        max(Counter(words).values(), default=0), sum(a == b for a, b in zip(words, words[1:], strict=False)), len(lines), len(lines) - distinct, len(words) - len(set(words)),
+    ]
+    whole = [len(words)] * len(part)
+    whole[0], whole[12] = n(upper) + n(lower), len(lines)
+    return part, whole, [len(words), sum(map(len, words))]
+
+
+def test_shares_against_plain_python(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [None, "", "\n", "a\na\na", "a\n\n a \x0bB!! B!! 12.", "É é %% %%", "x" * 3000]
+    got = counts(pa.array(texts))
+    for k, t in enumerate(texts):
+        for have, want in zip(got, brute_counts(t), strict=True):
+            assert have[k].tolist() == [float(x) for x in want], t
+
+
 def test_counts_of_slices_equal_counts_alone():
     texts = ["A b.\nA b.\n", None, "", "x " * 3000, "Ü$ 12 ok!", "one\n\ntwo two"]
     whole = counts(pa.array(texts))

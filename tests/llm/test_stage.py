@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from siftworks.llm._stage import connected_components, stage, unstage
-from siftworks.llm._text import Roller, Words, text_slices
+from siftworks.llm._stage import clear, connected_components, shared_dir, stage, unstage
+from siftworks.llm._text import LONG, Roller, Words, text_slices, word_hashes
 
 
 def brute(edges):
@@ -62,9 +62,33 @@ def test_words_and_windows():
         assert got == [(k, (t or "").split()) for k, t in enumerate(texts)]
 
 
-def test_range_hashes_depend_on_content_alone():
+def test_hashes_depend_on_content_alone():
+    words = [b"abc", b"", b"a", b"a\0", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", b"x" * LONG, b"x" * (LONG + 1), b"y" * 5000, b"abc"]
+    data = np.frombuffer(b"".join(words), dtype=np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    h = word_hashes(data, ends - [len(w) for w in words], ends, 9)
+    assert len(set(h.tolist())) == len(set(words)) and h[0] == h[-1]
+    for w, x in zip(words, h.tolist(), strict=True):
+        alone = np.frombuffer(w, dtype=np.uint8)
+        assert word_hashes(alone, np.array([0]), np.array([len(w)]), 9)[0] == x != word_hashes(alone, np.array([0]), np.array([len(w)]), 8)[0]
     r = Roller(9)
-    data = np.frombuffer(b"abcab\0cabc", dtype=np.uint8)
-    s, e = np.array([0, 3, 7, 0, 0]), np.array([3, 5, 10, 2, 0])
-    h = r.words(data, s, e)
-    assert h[0] == h[2] == r.words(data[7:], np.array([0]), np.array([3]))[0] and h[1] == h[3] and len({int(x) for x in h}) == 3
+    at = np.array([0, 3, 1])
+    windows = r.ranges(np.append(h[:3], h[:3]), at, at + 3)
+    assert windows[0] == windows[1] != windows[2]
+
+
+def test_clear_deletes_all_but_one(spark):
+    a, b = stage(spark.range(5).toDF("x"), "a"), stage(spark.range(6).toDF("x"), "b")
+    clear(spark, keep=b)
+    assert b.count() == 6
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(a._staged_at)
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(RuntimeError):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
