@@ -1,19 +1,27 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line weighs its text outside links; lines of
-page furniture (by element, role, class or id) weigh nothing. Weights are summed over sliding windows of
-BLOCK lines: a stretch of text begins where a sum surges over SURGE and ends where it dives to zero. If the
-heaviest stretch lies in an article or main element, the text is that element, so that short paragraphs at
-its ends stay. Else it goes from the first surge to the last dive, with what lies between, and is widened to
-short lines of the containers at its ends and to headings just before it; a copyright line may not end it.
-
-Scale: one pass, a page at a time, no shuffle; a page's work is linear in its length.
+Markup is stripped to lines, one for each block element. A line weighs its text outside links, HOME times as
+much inside article and main. Weights are summed over sliding windows of BLOCK lines that do not run over the
+edge of a container: text surges where a sum exceeds SURGE and dives where a whole window weighs nothing. The
+text lies in the smallest container that holds MOST of the weight of all surges, from its first surge to its
+last dive; short lines beside them in that container, and headings just before, belong to it. Where body
+itself is that container, it goes from the first surge to the last dive, with what lies between, and a
+copyright line may not end it.
+
+What the page itself calls furniture is left out beforehand: elements such as nav, footer and form, roles,
+and names in class or id. A name counts if all its words are words of furniture or of layout (share-buttons,
+but not search-results). Words that articles use as well (related, legal) are no verdict but halve into dense
+and thin: a container so called stays if its text outside links exceeds SURGE and its links.
+
+Scale: one pass, a page at a time, no shuffle; a page's work is linear in its length (close tags are looked
+up in one index, containers below DEEPEST are not told apart).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +32,9 @@ from ._stage import bounded_batches
 
 BLOCK = 3
 SURGE = 60
+HOME = 4
+#: Share of the weight of all surges, as a fraction.
+MOST = (2, 3)
 #: Containers below so many are not told apart.
 DEEPEST = 64
 
@@ -36,198 +47,267 @@ BLOCKS = CONTAINERS | set(
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "menu", "menubar", "toolbar", "alert"}
-#: Words in class and id that mark page furniture.
-MARKS = set(
-    "ad ads adv advert adverts advertisement adsense adbox adslot sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr "
-    "notice notices popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu topnav breadcrumb breadcrumbs "
-    "sidebar side aside rail footer foot comment comments commentlist disqus reply replies respond social share sharing sharebar related "
-    "recommended recommendations teaser teasers widget widgets toolbar login search pagination pager pagenav copyright legal skip paywall".split()
+#: Words in class and id that name page furniture, words that may, and words of layout beside them.
+STRONG = set(
+    "ad ads adv advert adverts advertisement advertising adsense adbox adslot sponsor sponsored promo promotion promoted banner cookie cookies consent "
+    "gdpr notice notices popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu topnav breadcrumb breadcrumbs sidebar "
+    "aside footer comment comments commentlist disqus reply replies respond social share sharing sharebar toolbar login pagination pager pagenav paywall".split()
+)
+WEAK = set("related recommended recommendations teaser teasers widget widgets search copyright legal skip side rail foot alert hero".split())
+LAYOUT = set(
+    "box block wrap wrapper container inner outer top bottom left right center main site page global primary secondary header head list item items bar area "
+    "section content button buttons link links icon icons group row col column panel slot unit zone space post posts article articles entry reader user "
+    "story news blog title text form sticky fixed mobile desktop small large js".split()
 )
-TOP_MARKS = {"header", "masthead", "topbar", "hero"}
-#: With one of these words, a class tells how the page is laid out: has-sidebar is not a sidebar.
-LAYOUT, LAID_OUT = {"has", "with", "no", "without", "layout"}, {"sidebar", "side", "rail", "nav", "ad", "ads", "banner"}
+TOP, TOP_LAYOUT = {"header", "masthead", "topbar"}, set("site page top main global bar inner wrap wrapper container".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>])*)>?", re.S)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]|=)*)>?",
+    re.S,
+)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_CLOSE = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>?")
 
 
-def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    if name in FURNITURE:
-        return True
-    if name == "header" and not inside:
-        return True
+def _named(names: str, inside: bool) -> int:
+    """2 if a name in class or id is one of furniture, 1 if it may be, else 0."""
+    out = 0
+    for name in names.split():
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words & STRONG and words <= STRONG | WEAK | LAYOUT or not inside and words & TOP and words <= TOP | TOP_LAYOUT:
+            return 2
+        if words & WEAK and words <= WEAK | LAYOUT:
+            out = 1
+    return out
+
+
+def _furniture(name: str, attributes: str, inside: bool, marks: bool) -> int:
+    """2 for furniture, 1 for what may be; ``inside``: in an article or main element."""
+    if name in FURNITURE or (name == "header" and not inside):
+        return 2
     if not attributes.strip() or name in ("html", "body"):
-        return False
+        return 0
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
-        return True
+        return 2
     if found.get("role", "").lower() in ROLES:
-        return True
-    words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-    if words & LAYOUT:
-        words -= LAID_OUT
-    if name in ("article", "main"):
-        return bool(words & {"comment", "comments", "reply", "teaser", "related", "ad", "advert", "promo"})
-    return bool(words & MARKS) or (not inside and bool(words & TOP_MARKS))
+        return 2
+    return _named(found.get("class", "") + " " + found.get("id", ""), inside) if marks else 0
 
 
 class _Lines:
     def __init__(self) -> None:
         self.text: list[str] = []
         self.weight: list[int] = []
-        self.home: list[int] = []
+        self.links: list[int] = []
+        self.home: list[bool] = []
         self.heading: list[bool] = []
         self.boxes: list[tuple[int, ...]] = []
-        self.path: tuple[int, ...] = ()
+        self.doubtful: list[int] = []
         self._now: list[str] = []
-        self._links = 0
+        self._linked = 0
 
     def add(self, text: str, linked: bool) -> None:
         self._now.append(text)
         if linked:
-            self._links += len(text.strip())
+            self._linked += len(text.strip())
 
-    def close(self, home: int, heading: bool) -> None:
+    def close(self, home: bool, heading: bool, boxes: tuple[int, ...], doubtful: int) -> None:
         if self._now:
             line = " ".join(html.unescape("".join(self._now)).split())
             if line:
-                self.text.append(line)
-                self.weight.append(max(0, len(line) - self._links))
-                self.home.append(home)
-                self.heading.append(heading)
-                self.boxes.append(self.path)
-            self._now, self._links = [], 0
+                links = min(len(line), self._linked)
+                for column, x in zip((self.text, self.weight, self.links, self.home, self.heading, self.boxes, self.doubtful), (line, len(line) - links, links, home, heading, boxes, doubtful), strict=True):
+                    column.append(x)
+            self._now, self._linked = [], 0
 
+    def drop(self, gone: set[int]) -> None:
+        """Without the lines of these doubtful containers."""
+        keep = [d not in gone for d in self.doubtful]
+        for name in ("text", "weight", "links", "home", "heading", "boxes", "doubtful"):
+            setattr(self, name, [x for x, ok in zip(getattr(self, name), keep, strict=True) if ok])
 
-def lines_of(page: str) -> _Lines:
+
+def lines_of(page: str, marks: bool = True) -> _Lines:
     """The page's lines outside furniture, with weights.
 
-    home: number of the article or main element, 0 for none; boxes: numbers of the open containers but html and body.
+    home: in an article or main element; boxes: numbers of the open containers but html and body; doubtful:
+    number of the container that may be furniture, or 0.
     """
     out = _Lines()
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # element, in furniture, home, boxes
-    furniture, home, homes, links, heading, opened = False, 0, 0, 0, False, 0
-    at = 0
+    closes: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSE.finditer(page):
+        closes.setdefault(m[1].lower(), []).append((m.start(), m.end()))
+
+    def behind(name: str, at: int) -> int | None:
+        """Where the next close tag of this name ends."""
+        own = closes.get(name, [])
+        k = bisect_left(own, (at, 0))
+        return own[k][1] if k < len(own) else None
+
+    stack: list[tuple] = []  # element, and the state before it
+    furniture = home = heading = aside = False
+    boxes: tuple[int, ...] = ()
+    doubtful = links = opened = at = 0
     n = len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
-        if end > at and not furniture:
+        if end > at and not furniture and not aside:
             out.add(page[at:end], links > 0)
         if not m:
             break
         at = m.end()
-        name = m[2]
-        if name is None:
+        if m[2] is None:
             continue
-        name, closing = name.lower(), bool(m[1])
+        name, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if name in RAW and not closing:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{name}\s*>?", re.I).search(page, at)
-                at = close.end() if close else (at if name in ("noscript", "template", "svg") else n)
-            continue
-        if name == "a":
+            if not attributes.rstrip().endswith("/"):
+                at = behind(name, at) or (at if name in ("noscript", "template", "svg") else n)
+        elif name == "a":
             links = max(0, links - 1) if closing else 1
         elif name == "br":
-            if not furniture:
+            if not furniture and not aside:
                 out.add(" ", False)
         elif name in BLOCKS:
-            out.close(home, heading)
-            links = 0
-            if name in CONTAINERS:
-                if closing:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == name:
-                            _, furniture, home, out.path = stack[k]
-                            del stack[k:]
-                            break
-                elif not m[3].rstrip().endswith("/"):
-                    stack.append((name, furniture, home, out.path))
-                    if name not in ("html", "body"):
-                        opened += 1
-                        # the tree's depth is bounded, so that a page of unclosed elements stays linear
-                        out.path = (*out.path, opened) if len(out.path) < DEEPEST else out.path
-                    if not furniture:
-                        furniture = _is_furniture(name, m[3], home > 0)
-                        if not furniture and (name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main", m[3])):
-                            homes += 1
-                            home = home or homes
+            out.close(home, heading, boxes, doubtful)
+            links, aside = 0, False
             heading = not closing and name in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if not closing and name not in CONTAINERS and not furniture and m[3].strip() and _is_furniture(name, m[3], home > 0):
-                # a paragraph or list item that is furniture by itself ends with its own element
-                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = close.end() if close else at
-        elif not closing and name not in VOID and not furniture and m[3].strip() and name in ("span", "ins", "label") and _is_furniture(name, m[3], True):
-            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = close.end() if close else at
-    out.close(home, heading)
+            if name in CONTAINERS and closing:
+                for k in range(len(stack) - 1, max(-1, len(stack) - 1 - DEEPEST), -1):
+                    if stack[k][0] == name:
+                        _, furniture, home, boxes, doubtful = stack[k]
+                        del stack[k:]
+                        break
+            elif name in CONTAINERS and not attributes.rstrip().endswith("/"):
+                stack.append((name, furniture, home, boxes, doubtful))
+                if name not in ("html", "body"):
+                    opened += 1
+                    boxes = (*boxes, opened) if len(boxes) < DEEPEST else boxes
+                if not furniture:
+                    kind = _furniture(name, attributes, home, marks)
+                    furniture = kind == 2
+                    doubtful = doubtful or (opened if kind else 0)
+                    home = home or not furniture and (name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main", attributes)))
+            elif not closing and not furniture and attributes.strip() and _furniture(name, attributes, home, marks) == 2:
+                # furniture by itself: up to its close tag, or a paragraph's next block
+                to = None if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6") else behind(name, at)
+                at, aside = to or at, to is None
+        elif not closing and name in ("span", "ins", "label") and not furniture and attributes.strip() and _furniture(name, attributes, True, marks) == 2:
+            at = behind(name, at) or at
+    out.close(home, heading, boxes, doubtful)
+    # a container that may be furniture stays if it is dense
+    tally: dict[int, list[int]] = {}
+    for d, w, x in zip(out.doubtful, out.weight, out.links, strict=True):
+        if d:
+            own = tally.setdefault(d, [0, 0])
+            own[0] += w
+            own[1] += x
+    out.drop({d for d, (w, x) in tally.items() if w <= SURGE or w < x})
     return out
 
 
 _COPYRIGHT = re.compile(r"©|\(c\)|copyright\b", re.I)
 
 
-def _widened(lines: _Lines, start: int, stop: int) -> tuple[int, int]:
-    """The stretch with lines of text that its end lines' containers hold around it; of html and body, only their own."""
-    home = lines.home[start]
-
-    def edge(at: int, step: int) -> int:
-        box, out, k = lines.boxes[at], at, at + step
-        while 0 <= k < len(lines.text) and lines.home[k] == home and (lines.boxes[k][: len(box)] == box if box else not lines.boxes[k]):
-            if lines.weight[k]:
-                out = k
-            k += step
-        return out
-
-    return edge(start, -1), edge(stop - 1, 1) + 1
-
-
-def main_text(page: str | None) -> str:
-    """Blocks of the main text, joined by an empty line; empty for null, empty and textless pages."""
-    if not page:
-        return ""
-    lines = lines_of(page)
-    n = len(lines.text)
-    if not n:
-        return ""
-    sums = [sum(lines.weight[i : i + BLOCK]) for i in range(n)]
-    best, weight, i = (0, n), -1, 0
-    surges: list[tuple[int, int]] = []
+def _surges(lines: _Lines, weight: list[int]) -> list[tuple[int, int]]:
+    """Stretches of lines, each in one container and what it holds: from a surge to the next dive."""
+    n = len(weight)
+    inside = lambda i, j: lines.boxes[j][: len(lines.boxes[i])] == lines.boxes[i] or lines.boxes[i][: len(lines.boxes[j])] == lines.boxes[j]
+    sums = []
+    for i in range(n):
+        total = weight[i]
+        for j in range(i + 1, min(i + BLOCK, n)):
+            if not inside(i, j):
+                break
+            total += weight[j]
+        sums.append(total)
+    out, i = [], 0
     while i < n:
-        if sums[i] <= SURGE:
+        if sums[i] <= SURGE * (HOME if lines.home[i] and weight[i] > lines.weight[i] else 1):
             i += 1
             continue
         start = i
-        while not lines.weight[start]:
+        while not weight[start]:
             start += 1  # the window surges before its first line does
-        stop = start
-        while stop < n and sums[stop] > 0:
+        stop = start + 1
+        while stop < n and sums[stop] > 0 and inside(start, stop):
             stop += 1
-        surges.append((start, stop))
-        total = sum(lines.weight[start:stop])
-        if total > weight:
-            best, weight = (start, stop), total
+        out.append((start, stop))
         i = max(stop, i + 1)
-    start, stop = best
+    return out
+
+
+def _container(lines: _Lines, weight: list[int], surges: list[tuple[int, int]]) -> tuple[int, ...]:
+    """Path of the smallest container that holds MOST of the surges' weight; body's is empty.
+
+    A container of one line is a paragraph, unless it is in an article or main.
+    """
     held: dict[int, int] = {}
-    for k in range(start, stop):
-        held[lines.home[k]] = held.get(lines.home[k], 0) + lines.weight[k]
-    home = max(held, key=lambda h: (h > 0 and held[h] * 2 >= sum(held.values()), held[h]))
-    if home:
-        keep = [k for k in range(n) if lines.home[k] == home]
-    else:
-        if surges:
-            loose = [x for x in surges if not all(lines.home[x[0] : x[1]])]
-            start, stop = _widened(lines, loose[0][0], loose[-1][1])
-        while start and lines.heading[start - 1]:
-            start -= 1
-        keep = list(range(start, stop))
-        while keep and _COPYRIGHT.match(lines.text[keep[-1]]):
-            if lines.text[keep[-1]][:3] == "(c)" and len(keep) > 1 and lines.text[keep[-2]].startswith("(b)"):
-                break  # an item of a list
-            keep.pop()
-    return "\n\n".join(lines.text[k] for k in keep)
+    size: dict[int, int] = {}
+    for boxes, home in zip(lines.boxes, lines.home, strict=True):
+        for box in boxes:
+            size[box] = size.get(box, 0) + (2 if home else 1)
+    path: dict[int, tuple[int, ...]] = {}
+    total = 0
+    for start, stop in surges:
+        for k in range(start, stop):
+            total += weight[k]
+            for depth, box in enumerate(lines.boxes[k]):
+                held[box] = held.get(box, 0) + weight[k]
+                if box not in path:
+                    path[box] = lines.boxes[k][: depth + 1]
+    return max((p for box, p in path.items() if size[box] > 1 and held[box] * MOST[1] >= total * MOST[0]), key=len, default=())
+
+
+def main_text(page: str | None, marks: bool = True, home: int = HOME) -> str:
+    """Blocks of the main text, joined by an empty line; empty for null, empty and textless pages.
+
+    Without ``marks`` names in class and id mean nothing, with ``home`` 1 article and main are plain containers.
+    """
+    if not page:
+        return ""
+    lines = lines_of(page, marks)
+    n = len(lines.text)
+    weight = [w * home if h else w for w, h in zip(lines.weight, lines.home, strict=True)]
+    surges = _surges(lines, weight)
+    if not surges:
+        keep = [k for k in range(n) if lines.home[k]] if home > 1 and any(lines.home) else list(range(n))
+        return "\n\n".join(lines.text[k] for k in keep)
+    path = _container(lines, weight, surges)
+    own = [k for k in range(n) if lines.boxes[k][: len(path)] == path]
+    if path:
+        start, stop = 0, len(own)
+        # beyond the last dive, and before the first surge: whole windows without weight
+        while stop - BLOCK >= 0 and not any(weight[k] for k in own[stop - BLOCK : stop]):
+            stop -= 1
+        while start + BLOCK <= stop and not any(weight[k] or lines.heading[k] for k in own[start : start + BLOCK]):
+            start += 1
+        if stop < len(own):
+            while stop and not weight[own[stop - 1]]:
+                stop -= 1
+        if start:
+            while start < stop and not (weight[own[start]] or lines.heading[own[start]]):
+                start += 1
+        return "\n\n".join(lines.text[k] for k in own[start:stop])
+    start, stop = surges[0][0], surges[-1][1]
+    # short lines of the containers at the ends, of body only its own
+    for at, step in ((start, -1), (stop - 1, 1)):
+        box, k = lines.boxes[at], at + step
+        while 0 <= k < n and (lines.boxes[k][: len(box)] == box if box else not lines.boxes[k]):
+            if weight[k]:
+                start, stop = min(start, k), max(stop, k + 1)
+            k += step
+    while start and lines.heading[start - 1]:
+        start -= 1
+    keep = lines.text[start:stop]
+    while keep and _COPYRIGHT.match(keep[-1]):
+        if keep[-1][:3] == "(c)" and len(keep) > 1 and keep[-2].startswith("(b)"):
+            break  # an item of a list
+        keep.pop()
+    return "\n\n".join(keep)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,8 +321,9 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every page; n_chars counts code points.
 
-    A null or empty html gives an empty text; null ids and urls are kept; repeated rows are each extracted.
-    An empty table gives an empty result; other columns are ignored.
+    A null or empty html gives an empty text; null ids and urls are kept; repeated rows are each extracted. A
+    page of any length is read whole; its task holds some ten times its bytes. An empty table gives an empty
+    result; other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

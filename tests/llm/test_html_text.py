@@ -56,3 +56,49 @@ BARE = {
 def test_pages_without_article(name):
     page, want = BARE[name]
     assert main_text(page) == want
+
+
+KEPT = {
+    "copyright paragraph": (f"<article><p>{LONG}</p><p>Copyright law is changing.</p><p>{LONG}</p></article>", f"{LONG}\n\nCopyright law is changing.\n\n{LONG}"),
+    "names that articles use": (f"<article><p>{LONG}</p><div class='search-results'><p>Found it.</p></div><p id='legal'>It is legal.</p><p>End.</p></article>", f"{LONG}\n\nFound it.\n\nIt is legal.\n\nEnd."),
+    "stray quotes": (f"<article><p title=5\">First {LONG}</p><p>It is 5\" long.</p></article>", f'First {LONG}\n\nIt is 5" long.'),
+    "quoted mark": (f"<article><p title='a > b'>{LONG}</p><p data-x=\"</p>\">Two.</p></article>", f"{LONG}\n\nTwo."),
+    "dense related": (f"<article><p>{LONG}</p><div class='related'><p>{LONG}</p></div><p>End.</p></article>", f"{LONG}\n\n{LONG}\n\nEnd."),
+    "thin related": (f"<article><p>{LONG}</p><div class='related-posts'><a href=x>One more article to read</a></div><p>End.</p></article>", f"{LONG}\n\nEnd."),
+    "links at the end of the article": (f"<article><h1><a href=x>T</a></h1><p>{LONG}</p><p>End.</p><ul>" + "<li><a href=x>Tag</a></li>" * 5 + "</ul></article>", f"T\n\n{LONG}\n\nEnd."),
+    "two links at the end": (f"<article><p>{LONG}</p><p><a href=x>Source one</a></p><p><a href=x>Source two</a></p></article>", f"{LONG}\n\nSource one\n\nSource two"),
+    "comments": (f"<article><p>{LONG}</p></article><div class='reader-comments'><p>{LONG}</p></div><section id=commentList><p>{LONG}</p></section>", LONG),
+    "marked paragraph that is not closed": (f"<article><p>{LONG}<p class=ad>Buy.<p>{LONG}</article>", f"{LONG}\n\n{LONG}"),
+    "containers of one paragraph": (f"<div id=a><div><p>Lead.</p></div><div><p>{LONG}</p></div><div><p>{LONG}</p></div><div><p>End.</p></div></div><div>Other.</div>", f"Lead.\n\n{LONG}\n\n{LONG}\n\nEnd."),
+    "article and long text beside it": (f"<article><p>{LONG}</p><p>{LONG}</p></article><div><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}\n\n{LONG}"),
+}
+
+
+@pytest.mark.parametrize("name", KEPT)
+def test_what_stays_and_goes(name):
+    page, want = KEPT[name]
+    assert main_text(page) == want
+
+
+def test_densities_alone_find_the_text(spark, sf_dir):
+    """Without names and element rules, line blocks give the same text on most pages, and it is the article's."""
+    import html
+    import re
+
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    same = right = 0
+    for page in pages:
+        blocks = re.split(r"<(?:/?(?:p|h1|article)|b><br)\b[^>]*>|</article>", re.search(r"<article>(.*?)</article>", page, re.S)[1])
+        want = [x for b in blocks if (x := " ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()))]
+        right += " ".join(main_text(page).split()) == " ".join(want)
+        same += main_text(page, marks=False, home=1) == main_text(page)
+    assert right == len(pages) and same > 0.8 * len(pages)
+
+
+def test_pages_that_close_nothing_are_linear():
+    import time
+
+    for bit in ("<p class=ad>word ", "<li class=ad>word ", "<span class=ad>word", "<div class=ad>word ", "<script/>", "<a href='", '<p title="x>', "</ul>", "<div><ul>"):
+        start = time.monotonic()
+        main_text("<article>" + bit * (4_000_000 // len(bit)))
+        assert time.monotonic() - start < 30, bit
