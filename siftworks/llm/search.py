@@ -4,16 +4,22 @@ Index: documents are packed into shards of bounded size; in a shard, documents a
 ones are neighbours (by their most frequent term) and cut into blocks of BLOCK. Each term has its postings,
 and for each block it occurs in the largest term score there.
 
-Search of one query in one shard: the sum of the terms' largest scores bounds the shard, the sums of block
-maxima bound each block. Blocks are taken by falling bound; once k documents are known, blocks whose
-bound is below the k-th score are never scored. The bounds hold for every document, so the result is exact.
-One shard in SEEDS is searched first: the k-th score there is a floor for the whole collection, from which
-every task starts; inside a task the k best so far are carried from shard to shard as well. Scores
-use statistics of the whole collection, so the tasks' lists merge exactly. Ties go to the smaller doc_id.
+Search of one query in one shard, with the k-th score so far as the threshold. The pivot: terms in order of
+their largest score, those before the pivot together stay below the threshold, so only blocks that hold the
+pivot or a term after it can hold a result; other blocks are skipped unseen. For these candidates the sums of
+block maxima bound each block. Blocks below the threshold are never scored. What departs from the textbook:
+cursors move over blocks instead of documents, and all blocks of a shard are judged at once, by falling
+bound, since steps of single documents cost too much outside compiled code. The bounds hold for every
+document, so the result is exact. One shard in SEEDS is searched first: the k-th score there is a floor for
+the whole collection, from which every task starts; inside a task the k best so far are carried from shard
+to shard as well. Scores use statistics of the whole collection, so the tasks' lists merge exactly. Ties go
+to the smaller doc_id.
 
 Scale: the index is built in one pass without a shuffle and staged in the shared folder; document
 frequencies are summed by term with partial aggregation. Queries come in blocks of at most about
-BLOCK_BYTES of terms, each broadcast alone; a task emits k rows a query.
+BLOCK_BYTES of terms. A block is a job of its own: its terms are broadcast, its k best are merged and staged,
+and its broadcast is destroyed before the next, so the driver and the executors hold one block however many
+queries there are. A task emits k rows a query.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import bounded_batches, stage
+from ._stage import bounded_batches, stage, staged_path, unstage
 from ._text import Words, ranges, text_slices, trimmed, word_hashes
 
 K1, B = 1.2, 0.75
@@ -191,13 +197,36 @@ class Shard:
         have = self.terms[at] == terms
         at, weights = at[have], weights[have]
         least = max(floor, best[0][k - 1]) if len(best[0]) >= k else floor
-        if not len(at) or float(weights @ self.term_max[at]) * (1 + 1e-9) < least:
+        if not len(at):
             return best
+        most = weights * self.term_max[at]
+        order = np.argsort(most)
+        sums = np.cumsum(most[order]) * (1 + 1e-9)
+        if sums[-1] < least:
+            return best
+        pivot = int(np.searchsorted(sums, least)) if least else 0
+        # those before the pivot, then the pivot and the others in order of their terms
+        order = np.concatenate((order[:pivot], np.sort(order[pivot:])))
+        at, weights = at[order], weights[order]
         lo, hi = self.term_runs[at], self.term_runs[at + 1]
-        runs = ranges(lo, hi - lo)
-        run_weight = np.repeat(weights, hi - lo)
+        runs = ranges(lo[pivot:], (hi - lo)[pivot:])
+        run_weight = np.repeat(weights[pivot:], (hi - lo)[pivot:])
         block = self.run_block[runs]
-        bound = np.bincount(block, self.run_max[runs] * run_weight, self.n_blocks) * (1 + 1e-9)
+        bound = np.bincount(block, self.run_max[runs] * run_weight, self.n_blocks)
+        if pivot:
+            # what the terms before the pivot can add is known in sum, so few blocks need their runs
+            alive = (bound > 0) & ((bound + sums[pivot - 1]) * (1 + 1e-9) >= least)
+            few = ranges(lo[:pivot], (hi - lo)[:pivot])
+            few_weight = np.repeat(weights[:pivot], (hi - lo)[:pivot])
+            near = alive[self.run_block[few]]
+            keep = alive[block]
+            runs, run_weight = np.concatenate((runs[keep], few[near])), np.concatenate((run_weight[keep], few_weight[near]))
+            # runs lie by term: scores are summed in the order of terms everywhere, so equal documents tie
+            order = np.argsort(runs)
+            runs, run_weight = runs[order], run_weight[order]
+            block = self.run_block[runs]
+            bound = np.bincount(block, self.run_max[runs] * run_weight, self.n_blocks)
+        bound *= 1 + 1e-9
         todo = bound > 0
         for step in (None,) if least else (4, 32, None):  # without a floor yet, find one first
             todo &= bound >= least
@@ -257,7 +286,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     so a null, empty or unknown query has no rows. Query rows with a null id are left out; rows that repeat
     a query_id are one query with the first of their texts in order. Repeated documents are each found, ties
     in order of doc_id; a null doc_id comes back as null, before others in ties. Empty tables give an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Documents and queries of any length are taken whole; a document longer
+    than a shard is a shard of its own.
     """
     spark = docs.sparkSession
     index = build_index(docs)
@@ -270,7 +300,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     weighted = stage(words.join(df, "term").select("query_id", "term", (idf * F.col("times")).alias("weight")), "bm25-queries")
     blocks = -(-weighted.count() * 16 // BLOCK_BYTES)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))
-    out = None
+    shards, found = index.drop("n_docs", "n_words"), staged_path(spark, "bm25-found")
+    some = shards.where(F.pmod(F.xxhash64("ids"), F.lit(SEEDS)) == 0)
     for i in range(blocks):
         rows = weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toArrow()
         q, t, w = (rows.column(c).to_numpy() for c in ("query_id", "term", "weight"))
@@ -279,17 +310,19 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         q, t, w = q[order], t[order], w[order]
         first = _runs(q)
         block = {int(q[a]): (t[a:b], w[a:b]) for a, b in zip(first, first + _sizes(first, len(q)), strict=True)}
-        shards = index.drop("n_docs", "n_words")
-        some = shards.where(F.pmod(F.xxhash64("ids"), F.lit(SEEDS)) == 0)
-        send = spark.sparkContext.broadcast
-        seed = some.mapInArrow(_searcher(send((block, {})), average, k), _HITS)
+        sent = spark.sparkContext.broadcast((block, {}))
+        seed = some.mapInArrow(_searcher(sent, average, k), _HITS)
         kth = seed.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        sent.destroy()
         floors = dict(zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist(), strict=True))
-        part = shards.mapInArrow(_searcher(send((block, floors)), average, k), _HITS)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = spark.createDataFrame([], _HITS)
-    ranked = out.withColumn("rank", rank).where(F.col("rank") <= k)
+        sent = spark.sparkContext.broadcast((block, floors))
+        part = shards.mapInArrow(_searcher(sent, average, k), _HITS).withColumn("rank", rank).where(F.col("rank") <= k)
+        part.write.mode("append").parquet(found)
+        sent.destroy()
+    for t in (index, words, weighted):
+        unstage(t)
+    schema = _HITS + ", rank int"
+    ranked = spark.read.schema(schema).parquet(found) if blocks else spark.createDataFrame([], schema)
     doc = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), doc.alias("doc_id"), F.round("score", 6).alias("score"))
 

@@ -67,6 +67,18 @@ def test_pruned_blocks_equal_full_scores():
         assert ids.tolist() == shard.ids[order].tolist() and np.allclose(score, full[order])
 
 
+def test_queries_in_many_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, " ".join(rng.choices("abcdefghij", k=rng.choice([3, 20])))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    qs = df.where("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    want = brute(docs, {i: t for i, t in docs if i % 10 == 0}, 5)
+    monkeypatch.setattr(S, "BLOCK_BYTES", 400)
+    got = S.search(df.repartition(3), qs, k=5).collect()
+    got = sorted((tuple(r) for r in got), key=lambda r: r[:2])
+    assert [r[:3] for r in got] == [r[:3] for r in want] and all(abs(a[3] - b[3]) < 2e-5 for a, b in zip(got, want, strict=True))
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     qs = spark.createDataFrame([(1, "a")], "query_id long, text string")
