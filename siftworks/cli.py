@@ -8,7 +8,7 @@ import sys
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import charts
@@ -20,7 +20,7 @@ from .operators import udf as U
 from .operators import validate as V
 from .operators.scan import discovered
 from .session import get_spark
-from .sources import config, images, runs
+from .sources import config, images, jsonl, runs
 
 
 def scan_folder(spark: SparkSession, root: str, max_bytes: int, policy: str) -> DataFrame:
@@ -69,6 +69,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+LABEL_LINE = "sha256 string, label string, domain string, split string, label_source string"
+RESULT_LINE = "artifact struct<sha256:string>, sha256 string, verdict string, scores struct<nsfw:double>, score double, model struct<id:string, sha256:string>, policy string"
+
+
+def _checked(spark: SparkSession, path: str, schema: str, violation: Column) -> tuple[DataFrame, DataFrame]:
+    """The records of a file of JSON lines by file line, and (line, code) of lines that are no record or violate a rule."""
+    lines = jsonl.bounded(jsonl.read_lines(spark, path).where(F.trim("text") != ""))
+    bad = lines.where("code is not null").select("line", "code")
+    records = lines.where("code is null").select("line", F.from_json("text", schema).alias("x")).select("line", "x.*")
+    return records, bad.union(records.select("line", violation.alias("code")).where("code is not null"))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or get_spark("siftworks")
@@ -83,14 +95,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         stored = spark.read.schema(rows.schema).json(f"{a.output.rstrip('/')}/{run_id}/all-results")
         return {r.fail_on: r.exit_code for r in P.exit_policy(stored).collect()}[a.fail_on] or 0
     if a.command == "evaluate":
-        lines = O.numbered(spark.read.schema("sha256 string, label string, domain string, split string, label_source string").json(a.labels).distinct(), F.col("sha256"), F.col("label"), F.col("domain"), F.col("split"), F.col("label_source"), name="line")
-        bad = E.first_violation(lines.select("line", V.label_violation().alias("code")).where("code is not null").withColumn("priority", V.priority(F.col("code"), V.LABEL_CODES))).collect()
-        if bad:
-            print(f"labels: {bad[0].code}", file=sys.stderr)
-            return 2
-        results = spark.read.schema("artifact struct<sha256:string>, sha256 string, verdict string, scores struct<nsfw:double>, score double, index long").json(a.results)
-        res = results.select(F.coalesce("index", F.monotonically_increasing_id()).alias("line"), F.lower(F.coalesce("artifact.sha256", "sha256")).alias("sha256"), "verdict", F.coalesce("scores.nsfw", "score").alias("score"))
+        lines, bad = _checked(spark, a.labels, LABEL_LINE, V.label_violation())
+        bad = bad.union(E.repeated(lines, "sha256").select("line", F.lit("duplicate_digest")))
+        records, bad_records = _checked(spark, a.results, RESULT_LINE, F.when(~F.coalesce(F.col("verdict").isin("ALLOW", "REVIEW", "BLOCK", "ERROR"), F.lit(False)), "bad_verdict"))
+        identity = F.concat_ws("|", F.coalesce("model.id", F.lit("-")), F.coalesce("model.sha256", F.lit("-")), F.coalesce("policy", F.lit("-")))
+        bad_records = bad_records.union(E.differs_from_first(records, identity).select("line", F.lit("mixed_identity")))
+        res = records.select("line", F.lower(F.coalesce("artifact.sha256", "sha256")).alias("sha256"), "verdict", F.coalesce("scores.nsfw", "score").alias("score"))
         labels = E.one_label_per_digest(lines)
+        conflicts = E.prediction_conflicts(E.matched(res, labels)).where("conflict").select(F.col("first_line").alias("line"), F.lit("prediction_conflict"))
+        for what, found in (("labels", bad), ("results", bad_records), ("results", conflicts.toDF("line", "code"))):
+            first = E.first_violation(found.withColumn("priority", F.lit(0))).collect()
+            if first:
+                print(f"{what}: line {first[0].line}: {first[0].code}", file=sys.stderr)
+                return 2
         report = {"coverage": E.coverage(res, labels).first().asDict(), "splits": [r.asDict() for r in E.summary(E.first_predictions(E.matched(res, labels))).collect()]}
         print(json.dumps(report, sort_keys=True))
         return 0 if report["coverage"]["matched_images"] else 2

@@ -111,6 +111,13 @@ def first_violation(violations: DataFrame) -> DataFrame:
     return violations.agg(F.min(F.struct("line", "priority", "code")).alias("x")).where("x is not null").select("x.line", "x.priority", "x.code")
 
 
+def repeated(df: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """Rows whose key, in any case, a row with a lower line has; a grouped minimum and an equi-join."""
+    low = F.lower(F.col(key))
+    firsts = df.groupBy(low.alias("_key")).agg(F.min(line).alias("_first"))
+    return df.join(firsts, low == F.col("_key")).where(F.col(line) > F.col("_first")).drop("_key", "_first")
+
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -121,20 +121,22 @@ def call_adapter(df: DataFrame, make: Callable[[], Adapter], key: str, payload:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         adapter = make()
-        for b in batches:
-            out = []
-            for k, p in zip(b[key], b[payload], strict=True):
-                try:
-                    line = adapter.call(str(k), p)
-                    code = response_code(line, str(k), protocol=adapter.protocol)
-                    outputs = None if code else json.dumps(json.loads(line).get("outputs"), sort_keys=True)
-                except Exception as e:  # noqa: BLE001
-                    code, outputs = type(e).__name__, None
-                out.append((k, code is None, code, outputs))
-            yield pd.DataFrame(out, columns=[key, "ok", "code", "outputs"])
-        close = getattr(adapter, "close", None)
-        if close:
-            close()
+        try:
+            for b in batches:
+                out = []
+                for k, p in zip(b[key], b[payload], strict=True):
+                    try:
+                        line = adapter.call(str(k), p)
+                        code = response_code(line, str(k), protocol=adapter.protocol)
+                        outputs = None if code else json.dumps(json.loads(line).get("outputs"), sort_keys=True)
+                    except Exception as e:  # noqa: BLE001
+                        code, outputs = type(e).__name__, None
+                    out.append((k, code is None, code, outputs))
+                yield pd.DataFrame(out, columns=[key, "ok", "code", "outputs"])
+        finally:  # also when the task fails or its reader stops early
+            close = getattr(adapter, "close", None)
+            if close:
+                close()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, payload).mapInPandas(run, f"{key} {kind}, ok boolean, code string, outputs string")

@@ -264,12 +264,19 @@ def _lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(REQUESTS), "line int, text string")
 
 
-@query("bridge_requests")
+@query("bridge_requests", """select * from (values (1,'a','health',null),(2,'b','scan',null),(4,null,null,'bridge_protocol_error'),(5,'c','health','bridge_protocol_error'),(6,null,'health','bridge_protocol_error'),
+  (7,'d','scan',null),(8,'e','scan',null),(9,'f','scan',null),(10,'g','scan','invalid_input'),(11,'h','delete','bridge_protocol_error'),(12,'i','scan','bridge_protocol_error'),(13,'j','scan',null)) t(line, id, operation, code)""")
 def bridge_requests(spark: SparkSession, sf: str) -> DataFrame:
     return bridge.requests(_lines(spark)).select("line", "id", "operation", "code")
 
 
-@query("bridge_responses")
+_ANSWERS = """(values ('a',null,'ready',null),('b',null,null,'REVIEW'),('f',null,null,'BLOCK'),(null,'bridge_protocol_error',null,null),(null,'bridge_protocol_error',null,null),('c','bridge_protocol_error',null,null),
+  ('h','bridge_protocol_error',null,null),('i','bridge_protocol_error',null,null),('d','path_outside_allowed_roots',null,null),('e','invalid_input',null,null),('g','invalid_input',null,null),('j','invalid_input',null,null)) t(id, code, status, verdict)"""
+
+
+@query("bridge_responses", f"""select '{{' || case when code is not null then '"error":{{"code":"' || code || '"}},' else '' end || coalesce('"id":"' || id || '",', '')
+  || '"ok":' || case when code is null then 'true' else 'false' end || ',"protocol":"{bridge.PROTOCOL}"' || case when code is not null then '' when status is not null then ',"result":{{"status":"' || status || '"}}'
+  else ',"result":{{"verdict":"' || verdict || '"}}' end || '}}' as value from {_ANSWERS}""")
 def bridge_responses(spark: SparkSession, sf: str) -> DataFrame:
     """The requests as a stream of files, answered and read back."""
     import uuid
@@ -306,38 +313,46 @@ def bridge_policy(spark: SparkSession, sf: str) -> DataFrame:
 # ---- pluggable models and sources without SQL
 
 
-@query("udf_score")
+_DIGITS = "('0x' || substr(sha256(text), 1, 4))::int / 65535.0::double"
+_ECHO = """true as ok, null::varchar as code, '{"length": ' || length(text) || ', "prefix": "' || substr(sha256(text), 1, 8) || '"}' as outputs"""
+
+
+@query("udf_score", f"select doc_id, {_DIGITS} as score, null::varchar as error from documents")
 def udf_score(spark: SparkSession, sf: str) -> DataFrame:
     return U.score_with(B.table(spark, sf, "documents"), U.DigestScorer, "text", "doc_id")
 
 
-@query("udf_mock_adapter")
+@query("udf_mock_adapter", f"select item_id, {_ECHO} from benchmark")
 def udf_mock_adapter(spark: SparkSession, sf: str) -> DataFrame:
     return U.call_adapter(B.table(spark, sf, "benchmark"), U.MockAdapter, "item_id", "text")
 
 
-@query("adapter_calls")
+@query("adapter_calls", f"with {B.SCAN}, hit as (select doc_id from scn where verdict = 'BLOCK') select doc_id, {_ECHO} from documents join hit using (doc_id)")
 def adapter_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Only flagged rows reach the adapter."""
     flagged = B.scan_rows(spark, sf).where("verdict = 'BLOCK'").select("doc_id", "text")
     return U.call_adapter(flagged, U.MockAdapter, "doc_id", "text")
 
 
-@query("adapter_validate")
+#: Responses as they were recorded, and the check that each fails.
+RECORDED = (
+    ("r1", '{"ok":true,"protocol":"vision-adapter","request_id":"r1","type":"result","version":1}', None),
+    ("r2", '{"ok":true,"protocol":"vision-adapter","request_id":"other","type":"result","version":1}', "wrong_request_id"),
+    ("r3", '{"protocol": "x"}', "wrong_protocol"),
+    ("r4", "[]", "not_an_object"),
+    ("r5", '{"protocol":"vision-adapter","version":2}', "unsupported_version"),
+    ("r6", '{"value": NaN}', "invalid_json"),
+    ("r7", '{"protocol":"vision-adapter","version":1,"type":"result","request_id":"r7","ok":1}', "no_boolean_ok"),
+)
+
+
+@query("adapter_validate", "select * from (values " + ", ".join(f"('{i}', '{r}', {'null' if c is None else repr(c)})" for i, r, c in RECORDED) + ") t(request_id, response, code)")
 def adapter_validate(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [
-        ("r1", U.MockAdapter().call("r1", "x")),
-        ("r2", U.MockAdapter().call("other", "x")),
-        ("r3", '{"protocol": "x"}'),
-        ("r4", "[]"),
-        ("r5", '{"protocol":"vision-adapter","version":2}'),
-        ("r6", '{"value": NaN}'),
-        ("r7", '{"protocol":"vision-adapter","version":1,"type":"result","request_id":"r7","ok":1}'),
-    ]
-    return U.validated(spark.createDataFrame(rows, "request_id string, response string"))
+    return U.validated(spark.createDataFrame([(i, r) for i, r, _ in RECORDED], "request_id string, response string"))
 
 
-@query("decode_header")
+@query("decode_header", """select * from (values ('png', 'PNG', 640::bigint, 360::bigint, false), ('jpeg', 'JPEG', 640, 360, false), ('webp', 'WEBP', 640, 360, true), ('text', null, null, null, false))
+  t(name, format, width, height, animated)""")
 def decode_header(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes from the first bytes of hand-made headers."""
     png = "89504E470D0A1A0A0000000D49484452000002800000016808060000"

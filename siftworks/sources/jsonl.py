@@ -17,7 +17,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
     counted = numbered(rows, F.col("file_path"), F.col("_at"), name="_k")
     starts = counted.join(first, "file_path").where(F.col("_at") == F.col("_first")).select("file_path", F.col("_k").alias("_start"))
-    return counted.join(F.broadcast(starts), "file_path").select("file_path", (F.col("_k") - F.col("_start") + 1).alias("line"), "text")
+    return counted.join(starts, "file_path").select("file_path", (F.col("_k") - F.col("_start") + 1).alias("line"), "text")
 
 
 def json_kind(text: Column) -> Column:

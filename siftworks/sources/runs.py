@@ -28,9 +28,11 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"could not publish {path}")
+    # one step: a reader sees the former file or the new one
+    rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(target), how)
 
 
 def get_json(spark: SparkSession, path: str) -> dict:

@@ -65,7 +65,8 @@ def responses(lines: DataFrame, artifacts: DataFrame, roots: list[str], profiles
     that fails is an error, never an ALLOW.
     """
     r = requests(lines)
-    known = artifacts.select(F.col("path").alias("_path"), F.col("sha256").alias("_sha"), F.col("score").alias("_score"))
+    # one row a path, so that a request has one response
+    known = artifacts.groupBy(F.col("path").alias("_path")).agg(F.min(F.struct("sha256", "score")).alias("x")).select("_path", F.col("x.sha256").alias("_sha"), F.col("x.score").alias("_score"))
     rows = r.join(known, r.path == known._path, "left").join(F.broadcast(profiles), "policy", "left")
     scan = F.col("operation") == "scan"
     bound = V.digest_binding(F.col("claimed"), F.col("_sha"))

@@ -54,6 +54,19 @@ def test_evaluate(spark, tmp_path, capsys):
     assert cli.main(["evaluate", "--labels", f"file://{tmp_path}/l.jsonl", "--results", f"file://{tmp_path}/r.jsonl"], spark) == 0
     report = json.loads(capsys.readouterr().out)
     assert report["coverage"]["matched_images"] == 2 and report["coverage"]["unmatched_labels"] == 1
+    def refused(labels, results):
+        (tmp_path / "l.jsonl").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in labels))
+        (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, results)))
+        assert cli.main(["evaluate", "--labels", f"file://{tmp_path}/l.jsonl", "--results", f"file://{tmp_path}/r.jsonl"], spark) == 2
+        return capsys.readouterr().err.strip()
+
+    again = {**labels[0], "sha256": h[0].upper(), "label": "nsfw"}
+    assert refused([*labels, "", again], results) == "labels: line 5: duplicate_digest"
+    assert refused([labels[0], "{", *labels[1:]], results) == "labels: line 2: invalid_json"
+    assert refused(labels, [*results, {**results[0], "verdict": "REVIEW"}]) == "results: line 1: prediction_conflict"
+    assert refused(labels, [{**results[0], "model": {"id": "a"}}, {**results[1], "model": {"id": "b"}}]) == "results: line 2: mixed_identity"
+    assert refused(labels, [results[0], {**results[1], "verdict": "MAYBE"}]) == "results: line 2: bad_verdict"
+    (tmp_path / "r.jsonl").write_text("\n".join(map(json.dumps, results)))
     labels[0]["label_source"] = "model"
     (tmp_path / "l.jsonl").write_text("\n".join(map(json.dumps, labels)))
     assert cli.main(["evaluate", "--labels", f"file://{tmp_path}/l.jsonl", "--results", f"file://{tmp_path}/r.jsonl"], spark) == 2
