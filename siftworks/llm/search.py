@@ -142,7 +142,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Shards of all rows, staged; null texts are documents without words."""
+    """Shards of all rows, staged; null and empty texts are documents without words, repeated rows are each indexed.
+
+    A text longer than SHARD_BYTES is a shard of its own, whole. An empty table gives no shards.
+    """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stage(own.mapInArrow(_build, _INDEX), "bm25-index")

@@ -231,7 +231,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the smallest doc_id reachable over links of at most RADIUS differing bits. Equal
     fingerprints are one class, so copies are never paired. Null and wordless texts have fingerprint 0 and
     link like any other; a null doc_id gets a component but never names one (null if all its members are
-    null); repeated rows are kept; an empty table gives an empty result; other columns are ignored.
+    null); repeated rows are kept; a text of any length is read whole, with some 15 bytes of lists and arrays
+    a byte; an empty table gives an empty result; other columns are ignored.
     """
     fps = stage(fingerprint_table(docs, id_col, text_col), "simhash-fp")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
@@ -250,7 +251,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """Documents that name their component: the smallest doc_id of each group of near-duplicates.
 
-    Rows with a null doc_id are kept. Repeated rows of one doc_id are all kept or all dropped.
+    Rows with a null doc_id are kept. Repeated rows of one doc_id are all kept or all dropped. Null, empty and
+    long texts as in simhash_components; an empty table gives an empty result; other columns stay as they are.
     """
     comps = simhash_components(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
     return docs.join(comps, "doc_id", "left_anti")

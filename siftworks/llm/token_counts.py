@@ -113,7 +113,10 @@ class Counter:
 
 
 class Known:
-    """Counts of the pre-tokens that a task has met, by 64-bit hash; emptied when it holds MOST_KNOWN."""
+    """Counts of the pre-tokens that a task has met, by 64-bit hash; emptied when it holds MOST_KNOWN.
+
+    Two different pre-tokens of MOST_KNOWN share a hash with a chance of about 1e-7.
+    """
 
     def __init__(self, counter: Counter) -> None:
         self.counter = counter
@@ -171,8 +174,9 @@ def _counted(counter: Counter):
 def count_tokens(docs: DataFrame, vocabulary: dict[str, float]) -> DataFrame:
     """doc_id, n_words, n_tokens for every row.
 
-    Null and empty texts have no tokens; a null doc_id is kept; repeated rows are each counted. An empty
-    table gives an empty result; other columns are ignored.
+    Null and empty texts have no tokens; a null doc_id is kept; repeated rows are each counted. A text of any
+    length is counted whole, at some 60 bytes of arrays a byte; ties between segmentations are settled as the
+    module says. An empty table gives an empty result; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
