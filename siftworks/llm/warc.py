@@ -361,8 +361,9 @@ def round_trip(pages: DataFrame, compression: str = "none") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives.
 
     Of stored payloads, length and digest are those of the bytes read; of revisits, those in the headers.
-    Control characters in a url are percent-encoded. An empty table gives an empty result; other columns are
-    ignored.
+    Control characters in a url are percent-encoded. A null html is an empty payload, one of any length is a
+    record, held whole by the task that writes or reads it; repeated rows are each written. An empty table
+    gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
     register(spark)
