@@ -120,9 +120,3 @@ def repeated(df: DataFrame, key: str, line: str = "line") -> DataFrame:
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-
-
-def best_per(df: DataFrame, by: str, value: str, position: str) -> DataFrame:
-    """Of each group the row with the largest value, the first in position on a tie; a grouped maximum."""
-    own = [F.col(c) for c in df.columns]
-    return df.groupBy(F.col(by).alias("_by")).agg(F.max_by(F.struct(*own), F.struct(F.col(value), -F.col(position))).alias("x")).select("x.*")

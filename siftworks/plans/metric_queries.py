@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluate as E
 from ..operators import metrics as M
 from ..operators import order as O
+from ..sources import history as H
 from . import bindings as B
 from .registry import query
 
@@ -90,49 +90,58 @@ def peak_delta(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-#: position, date, kind, provider, workers, p50 ms, images a second, peak resident bytes: published measurements.
-HISTORY = (
-    (1, "2026-09-13", "single image", "cpu", 1, 27.7433, 36.0434, 155791360),
-    (2, "2026-09-13", "single image", "directml", 1, 11.08485, 90.1205, 389107712),
-    (3, "2026-09-13", "single image", "cuda", 1, 10.96435, 90.2265, 810676224),
-    (4, "2026-09-13", "folder fixture", "cpu", 1, 60.3978, 15.4728, 384733184),
-    (5, "2026-09-13", "folder fixture", "cpu", 4, 127.6014, 29.7227, 475516928),
-    (6, "2026-09-13", "folder fixture", "directml", 1, 24.9821, 34.6506, 603361280),
-    (7, "2026-09-13", "folder fixture", "directml", 4, 39.9482, 82.3740, 639328256),
-    (8, "2026-09-13", "folder fixture", "cuda", 1, 23.8444, 35.9795, 1042497536),
-    (9, "2026-09-13", "folder fixture", "cuda", 4, 38.5960, 79.6828, 973987840),
-    (10, "2026-09-13", "real folder", "cpu", 4, 152.5662, 24.8899, 472072192),
-    (11, "2026-09-13", "real folder", "directml", 4, 39.188, 84.0746, 641970176),
-    (12, "2026-09-13", "real folder", "cuda", 4, 38.6499, 83.8702, 970891264),
-)
-HIS = "his(position, date, workload, provider, workers, p50, throughput, rss) as (values " + ", ".join(f"({p}, '{d}', '{w}', '{v}', {n}, {m}::double, {t}::double, {r}::bigint)" for p, d, w, v, n, m, t, r in HISTORY) + ")"
+#: Events as records of benchmarks, sixteen a document: the numbers are invented, the format is that of a history.
+HIS = """his(stem, position, date, workload, provider, workers, p50, throughput, rss) as (
+  select 'b' || event_id // 16, row_number() over (partition by event_id // 16 order by event_type <> 'click', event_id) - 1, '2031-01-' || lpad((1 + event_id // 16 % 28)::varchar, 2, '0'),
+    case when event_type = 'click' then 'single image' when event_id // 16 % 2 = 0 then 'real folder' else 'folder fixture' end,
+    ['cpu', 'cuda', 'directml'][(1 + event_id % 3)::int], 1 + event_id % 2 * 3, value, value * 2, event_id * 1048576::double + 524288 from events),
+  best as (select *, row_number() over (partition by stem, provider order by throughput desc, position) k from his where workload <> 'single image'),
+  mea as (select * from his where workload = 'single image' union all select * exclude (k) from best where k = 1)"""
 
 
-def history(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(HISTORY), "position int, date string, workload string, provider string, workers int, p50 double, throughput double, rss long")
+def history(spark: SparkSession, sf: str) -> DataFrame:
+    """Records read from the documents; a document has at most sixteen."""
+    i = F.col("event_id")
+    document = F.floor(i / 16)
+    record = F.struct(
+        i, F.element_at(F.array(*map(F.lit, ("cpu", "cuda", "directml"))), (i % 3 + 1).cast("int")).alias("provider"), (1 + i % 2 * 3).alias("workers"),
+        F.col("value").alias("total_p50_ms"), (F.col("value") * 2).alias("throughput_images_per_second"), (i * 1048576.0 + 524288).alias("peak_process_rss_bytes"),
+    )
+    click = F.col("event_type") == "click"
+    texts = B.table(spark, sf, "events").groupBy(document.alias("document")).agg(
+        F.array_sort(F.collect_list(F.when(click, record))).alias("single"), F.array_sort(F.collect_list(F.when(~click, record))).alias("measurements")
+    )
+    day = F.concat(F.lit("2031-01-"), F.lpad((1 + F.col("document") % 28).cast("string"), 2, "0")).alias("measurement_date")
+    kind = F.when(F.col("document") % 2 == 0, "folder-real-world").otherwise("folder").alias("benchmark_kind")
+    return H.records(texts.select(F.concat(F.lit("b"), F.col("document").cast("string")).alias("stem"), F.to_json(F.struct(day, kind, "single", "measurements")).alias("text")))
+
+
+@query("history_records", f"with {HIS} select stem, position::bigint as position, date, workload, provider, workers::bigint as workers, p50, throughput, rss from his")
+def history_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record of every document, read back from JSON."""
+    return history(spark, sf).drop("code").withColumns({"position": F.col("position").cast("long"), "workers": F.col("workers").cast("long")})
 
 
-@query("perf_history", f"""with {HIS}, f as (select *, row_number() over (partition by workload, provider order by throughput desc, position) k from his where workload <> 'single image')
-  select date, workload, provider, p50, throughput, rss / 1048576.0::double as peak_rss_mib from his where workload = 'single image'
-  union all select date, workload, provider, p50, throughput, rss / 1048576.0::double from f where k = 1""")
+@query("perf_history", f"with {HIS} select stem, date, workload, provider, p50, throughput, rss / 1048576.0::double as peak_rss_mib from mea")
 def perf_history(spark: SparkSession, sf: str) -> DataFrame:
-    """All single-image rows, and of each folder workload the best row of a provider."""
-    h = history(spark)
-    folders = h.where("workload <> 'single image'").withColumn("key", F.concat_ws("|", "workload", "provider"))
-    rows = h.where("workload = 'single image'").unionByName(E.best_per(folders, "key", "throughput", "position").drop("key"))
-    return rows.select("date", "workload", "provider", "p50", "throughput", (F.col("rss") / F.lit(1048576.0)).alias("peak_rss_mib"))
+    """All single-image rows, and of each folder document the best row of a provider."""
+    return H.measurements(history(spark, sf)).select("stem", "date", "workload", "provider", "p50", "throughput", "peak_rss_mib")
 
 
-@query("best_per_provider", f"with {HIS} select provider, arg_max(workload, throughput) as workload, max(throughput) as throughput from his group by provider")
+@query("best_per_provider", f"with {HIS}, k as (select *, row_number() over (partition by provider order by throughput desc, stem, position) k from his) select provider, stem, workload, throughput from k where k = 1")
 def best_per_provider(spark: SparkSession, sf: str) -> DataFrame:
-    return E.best_per(history(spark), "provider", "throughput", "position").select("provider", "workload", "throughput")
+    h = history(spark, sf)
+    ties = h.groupBy("provider", "throughput").agg(F.min(F.struct("stem", "position", "workload")).alias("x"))
+    top = ties.groupBy("provider").agg(F.max("throughput").alias("throughput"), F.max_by("x", "throughput").alias("x"))
+    return top.select("provider", "x.stem", "x.workload", "throughput")
 
 
-@query("speedup_ratio", f"with {HIS} select a.provider, round(b.throughput / a.throughput, 3) as ratio from his a join his b using (provider) where a.workload = 'folder fixture' and b.workload = 'folder fixture' and a.workers = 1 and b.workers = 4")
+@query("speedup_ratio", f"""with {HIS} select provider, workload, round(max(throughput) filter (workers = 4) / max(throughput) filter (workers = 1), 3) as ratio from his
+  where workload <> 'single image' group by provider, workload""")
 def speedup_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    h = history(spark).where("workload = 'folder fixture'")
+    h = history(spark, sf).where("workload <> 'single image'")
     rate = lambda n: F.max(F.when(F.col("workers") == n, F.col("throughput")))
-    return h.groupBy("provider").agg(F.round(rate(4) / rate(1), 3).alias("ratio"))
+    return h.groupBy("provider", "workload").agg(F.round(rate(4) / rate(1), 3).alias("ratio"))
 
 
 @query("headline_eligible", """with r as (select event_id, case event_id % 3 when 0 then 'cpu' when 1 then 'cuda' else 'directml' end provider, value / 4 as cpu, value / 3 as gpu from events),
@@ -145,12 +154,13 @@ def headline_eligible(spark: SparkSession, sf: str) -> DataFrame:
     return M.quality_flags(rows).select("event_id", "warnings", "headline_eligible")
 
 
-@query("history_points", f"""with {HIS}, s as (select *, dense_rank() over (order by provider) - 1 as lane from his where workload = 'single image'), m as (select max(throughput) * 1.15::double top from s)
-  select provider, (92 + lane * 22)::bigint as x, round(170 - 170 * throughput / top, 4) as y from s cross join m""")
+@query("history_points", f"""with {HIS}, s as (select provider, max(throughput) throughput from his where workload = 'single image' group by provider),
+  r as (select *, dense_rank() over (order by provider) - 1 as lane from s), m as (select max(throughput) * 1.15::double top from s)
+  select provider, (92 + lane * 22)::bigint as x, round(170 - 170 * throughput / top, 4) as y from r cross join m""")
 def history_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Chart points of the throughput panel; lanes are ranks of the few providers."""
-    s = history(spark).where("workload = 'single image'")
-    head = F.broadcast(s.agg(F.array_sort(F.collect_set("provider")).alias("lanes"), (F.max("throughput") * 1.15).alias("top")))
+    """Chart points of each provider's fastest single image; lanes are ranks of the few providers."""
+    s = history(spark, sf).where("workload = 'single image'").groupBy("provider").agg(F.max("throughput").alias("throughput"))
+    head = F.broadcast(s.agg(F.array_sort(F.collect_set("provider")).alias("lanes"), (F.max("throughput") * 1.15).alias("top")))  # one row
     p = s.crossJoin(head).withColumn("lane", F.array_position("lanes", F.col("provider")) - 1)
     return p.select("provider", (92 + F.col("lane") * 22).alias("x"), F.round(170 - 170 * F.col("throughput") / F.col("top"), 4).alias("y"))
 
