@@ -1,9 +1,10 @@
-"""Command line: python -m siftworks.cli scan|folder|evaluate|enrich|bridge|chart|config|verify ..."""
+"""Command line: python -m siftworks.cli scan|folder|evaluate|enrich|bridge|benchmark|chart|history|config|init|doctor|model|verify ..."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import UTC, datetime
 from pathlib import Path
@@ -11,34 +12,46 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import measure, serve
 from .functions import charts
+from .operators import adapters as A
 from .operators import evaluate as E
 from .operators import order as O
 from .operators import policy as P
 from .operators import routing as R
-from .operators import udf as U
 from .operators import validate as V
 from .operators.scan import discovered
+from .scanning import scan_folder
 from .session import get_spark
-from .sources import config, images, jsonl, runs
-
-
-def scan_folder(spark: SparkSession, root: str, max_bytes: int, policy: str) -> DataFrame:
-    """Rows of a folder in path order: digest, header, score of each distinct digest, verdict or error code."""
-    files = images.read_images(spark, root, max_bytes)
-    head = images.header(F.col("content"))
-    seen = files.select("path", F.col("length").alias("byte_length"), "sha256", "content", "code", head.alias("h"))
-    bad = F.coalesce("code", V.format_gate(F.col("h.format")), V.pixel_gate(F.col("h.width"), F.col("h.height"), 40_000_000))
-    seen = seen.withColumn("error_code", bad).withColumn("animated", F.col("h.animated"))
-    wanted = seen.where("error_code is null and not animated").groupBy("sha256").agg(F.min_by("content", "path").alias("content"))
-    scores = U.score_with(wanted, U.DigestScorer, "content", "sha256").withColumnsRenamed({"sha256": "_sha"})
-    review, block = P.thresholds(policy)
-    verdict = (
-        F.when(F.col("error_code").isNotNull(), "ERROR").when(F.col("animated"), "REVIEW").otherwise(P.verdict(F.col("score"), F.lit(review), F.lit(block)))
-    )
-    rows = seen.drop("content").join(scores, F.col("sha256") == F.col("_sha"), "left").withColumn("verdict", verdict)
-    numbered = O.numbered(rows.withColumnRenamed("path", "relative_path").select("relative_path", "byte_length", "sha256", "animated", "score", "verdict", F.coalesce("error_code", "error").alias("error_code")), F.lower("relative_path"), F.col("relative_path"))
-    return numbered
+from .sources import config, history, images, jsonl, models, review, runs
+
+
+#: A configuration to begin with: all models are off until they are reviewed.
+STARTER = """schema_version = 1
+
+[privacy]
+mode = "local-only"  # or remote-tls
+acknowledge_remote_image_disclosure = false
+
+[[models]]
+id = "local"
+adapter = "command"
+enabled = false
+trusted = false
+command = ["my-adapter"]
+tasks = ["describe"]
+when = ["REVIEW", "BLOCK"]
+timeout_seconds = 30
+
+[[models]]
+id = "remote"
+adapter = "http-json"
+enabled = false
+url = "https://models.example.invalid/analyze"
+auth_env = "MODEL_TOKEN"
+tasks = ["describe"]
+when = ["ALL"]
+"""
 
 
 def parser() -> argparse.ArgumentParser:
@@ -51,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--max-bytes", type=int, default=images.MAX_BYTES)
         if name == "folder":
             s.add_argument("--output", required=True)
+            s.add_argument("--links", help="folder for shortcuts and pages of the flagged files")
             s.add_argument("--fail-on", default="never", choices=["never", "error", "block", "review"])
     s = sub.add_parser("evaluate", help="results against labels, both JSON lines")
     s.add_argument("--labels", required=True)
@@ -58,6 +72,29 @@ def parser() -> argparse.ArgumentParser:
     s = sub.add_parser("enrich", help="route results to the models of a configuration")
     s.add_argument("results")
     s.add_argument("--config", required=True)
+    s.add_argument("--call", action="store_true", help="call the adapters of the routed models")
+    s.add_argument("--fail-on", default="error", choices=["never", "error"])
+    s = sub.add_parser("bridge", help="answer requests, JSON lines from standard input to standard output")
+    s.add_argument("--allow-root", action="append", help="files may be read below this folder; may be repeated, default: here")
+    s.add_argument("--batch", type=int, default=1)
+    s.add_argument("--max-bytes", type=int, default=images.MAX_BYTES)
+    s = sub.add_parser("benchmark", help="measure the scorer on made-up payloads")
+    s.add_argument("--runs", type=int, default=30)
+    s.add_argument("--warmups", type=int, default=3)
+    s.add_argument("--output")
+    s = sub.add_parser("history", help="chart a folder of benchmarks")
+    s.add_argument("folder")
+    s.add_argument("--output", required=True)
+    s = sub.add_parser("init", help="write a configuration with all models off")
+    s.add_argument("path")
+    s.add_argument("--force", action="store_true")
+    s = sub.add_parser("doctor", help="check a configuration and shake hands with its models")
+    s.add_argument("path")
+    s = sub.add_parser("model", help="the pinned model file")
+    s.add_argument("action", choices=["status", "install"])
+    s.add_argument("path")
+    s.add_argument("sha256")
+    s.add_argument("--source", help="where install copies from")
     s = sub.add_parser("chart", help="throughput over a run's timeline (JSON lines of completed, elapsed_seconds)")
     s.add_argument("timeline")
     s.add_argument("--output", required=True)
@@ -81,6 +118,14 @@ def _checked(spark: SparkSession, path: str, schema: str, violation: Column) ->
     return records, bad.union(records.select("line", violation.alias("code")).where("code is not null"))
 
 
+def _config_violations(own: DataFrame) -> bool:
+    """Print what is wrong with the models of a configuration; whether anything is."""
+    bad = own.select("id", V.config_violation().alias("code")).where("code is not null").orderBy("id").collect()
+    for r in bad:
+        print(f"{r.id}: {r.code}")
+    return bool(bad)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or get_spark("siftworks")
@@ -93,6 +138,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         run_id = runs.new_run_id()
         print(json.dumps(runs.write_run(rows, a.output, run_id, datetime.now(UTC)), sort_keys=True))
         stored = spark.read.schema(rows.schema).json(f"{a.output.rstrip('/')}/{run_id}/all-results")
+        if a.links:
+            review.write_links(stored.withColumnRenamed("relative_path", "path"), f"{a.links.rstrip('/')}/{run_id}", run_id, a.policy)
         return {r.fail_on: r.exit_code for r in P.exit_policy(stored).collect()}[a.fail_on] or 0
     if a.command == "evaluate":
         lines, bad = _checked(spark, a.labels, LABEL_LINE, V.label_violation())
@@ -112,12 +159,67 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(json.dumps(report, sort_keys=True))
         return 0 if report["coverage"]["matched_images"] else 2
     if a.command == "enrich":
-        models = config.load_models(spark, Path(a.config).read_text()).withColumnRenamed("id", "model_id")
-        rows = spark.read.schema("index long, relative_path string, verdict string").json(a.results)
-        out = R.enriched(rows.withColumn("verdict", F.upper(F.coalesce("verdict", F.lit("ERROR")))), models)
+        own = config.load_models(spark, Path(a.config).read_text())
+        rows = spark.read.schema("index long, relative_path string, sha256 string, verdict string").json(a.results)
+        rows = rows.withColumn("verdict", F.upper(F.coalesce("verdict", F.lit("ERROR"))))
+        if not a.call:
+            out = R.enriched(rows, own.withColumnRenamed("id", "model_id"))
+        else:
+            if _config_violations(own):
+                return 30
+            try:
+                out = R.analysed(rows, own.where("enabled").orderBy("ordinal").collect(), "index", lambda m: A.from_model(m, os.environ))
+            except A.AdapterError as e:
+                print(f"adapter: {e}", file=sys.stderr)
+                return 30
+            out = O.staged(out)  # what was printed and what is counted come of the same calls
         for line in out.select(F.to_json(F.struct(*sorted(out.columns))).alias("x")).toLocalIterator():
             print(line.x)
+        failed = a.call and a.fail_on == "error" and not out.where(F.exists("analyses", lambda x: ~x["ok"])).isEmpty()
+        return 31 if failed else 0
+    if a.command == "bridge":
+        serve.serve(spark, sys.stdin, sys.stdout, a.allow_root or [os.getcwd()], a.batch, a.max_bytes)
+        return 0
+    if a.command == "benchmark":
+        report = json.dumps(measure.benchmark(spark, a.runs, a.warmups), sort_keys=True, indent=2)
+        if a.output:
+            runs.put_text(spark, a.output, report)
+        print(report)
+        return 0
+    if a.command == "history":
+        rows = history.measurements(history.records(history.read_documents(spark, a.folder))).orderBy("stem", "provider", "position").limit(charts.MOST_POINTS + 1).collect()
+        if not 0 < len(rows) <= charts.MOST_POINTS:
+            print("history: no measurements" if not rows else f"history: more than {charts.MOST_POINTS} points", file=sys.stderr)
+            return 2
+        Path(a.output).write_text(measure.history_chart(rows))
+        return 0
+    if a.command == "init":
+        if os.path.exists(a.path) and not a.force:
+            print(f"{a.path} exists", file=sys.stderr)
+            return 30
+        runs.put_text(spark, Path(a.path).absolute().as_uri(), STARTER)
         return 0
+    if a.command == "doctor":
+        own = config.load_models(spark, Path(a.path).read_text())
+        if _config_violations(own):
+            return 30
+        report = []
+        for m in own.where("enabled").orderBy("ordinal").collect():
+            try:
+                A.from_model(m, os.environ)().close()
+                report.append({"id": m.id, "ok": True, "tasks": m.tasks})
+            except (A.AdapterError, OSError) as e:
+                report.append({"id": m.id, "ok": False, "error": str(e)[:200]})
+        print(json.dumps({"ok": all(r["ok"] for r in report), "models": report}, sort_keys=True))
+        return 0 if all(r["ok"] for r in report) else 30
+    if a.command == "model":
+        try:
+            state = models.model_status(spark, a.path, a.sha256) if a.action == "status" else models.install_model(spark, a.source or a.path, a.path, a.sha256)
+        except ValueError as e:
+            print(f"model: {e}", file=sys.stderr)
+            return 30
+        print(json.dumps(state, sort_keys=True))
+        return 0 if state["valid"] else 30
     if a.command == "chart":
         rows = spark.read.schema("completed long, elapsed_seconds double").json(a.timeline)
         points = O.decimated(O.last_of_consecutive(rows, "completed", F.col("elapsed_seconds")), charts.MOST_POINTS, F.col("elapsed_seconds"))
@@ -125,11 +227,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         Path(a.output).write_text(charts.chart([("items a second", {"throughput": series})], "Run"))
         return 0
     if a.command == "config":
-        models = config.load_models(spark, Path(a.path).read_text())
-        bad = models.select("id", V.config_violation().alias("code")).where("code is not null").orderBy("id").collect()
-        for r in bad:
-            print(f"{r.id}: {r.code}")
-        return 30 if bad else 0
+        return 30 if _config_violations(config.load_models(spark, Path(a.path).read_text())) else 0
     ok = images.verify_artifact(spark, a.path, a.sha256).collect()[0].ok
     print("ok" if ok else "digest or size differs")
     return 0 if ok else 1

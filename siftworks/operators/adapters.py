@@ -11,6 +11,7 @@ import json
 import queue
 import subprocess
 import threading
+from collections.abc import Callable
 from urllib.parse import urlsplit
 
 from .udf import PROTOCOL, PROTOCOL_VERSION, response_code
@@ -36,6 +37,19 @@ def check_hello(line: str, request_id: str, tasks: list[str], protocol: str) ->
         raise AdapterError(f"missing_tasks: {missing}")
 
 
+def from_model(model, environment: dict[str, str]) -> Callable[[], CommandAdapter | HttpAdapter]:
+    """How to make the adapter of a model of the configuration. Its secret is read here, on the driver."""
+    token = environment.get(model.auth_env) if model.auth_env else None
+    if model.auth_env and not token:
+        raise AdapterError("missing_secret")
+    most = (model.max_response_kib or 256) << 10
+    if model.adapter == "command":
+        if not model.command or not model.trusted:
+            raise AdapterError("untrusted_command")
+        return lambda: CommandAdapter(list(model.command), list(model.tasks), model.timeout_seconds, most)
+    return lambda: HttpAdapter(model.url, list(model.tasks), model.timeout_seconds, most, token)
+
+
 class CommandAdapter:
     """A child process that answers one JSON line with one JSON line."""
 

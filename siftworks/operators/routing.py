@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from .udf import Adapter, call_adapter
+
 ROUTES = ("ALL", "ALLOW", "REVIEW", "BLOCK", "ERROR")
 
 
@@ -36,6 +40,24 @@ def enriched(records: DataFrame, models: DataFrame) -> DataFrame:
     return records.crossJoin(F.broadcast(own)).withColumn("analyses", F.transform(hits, lambda m: m["model_id"])).drop("models")
 
 
+def analysed(records: DataFrame, models: list[Row], key: str, make: Callable[[Row], Callable[[], Adapter]]) -> DataFrame:
+    """Records with ``analyses``: what each routed model says of them, in the order of the configuration.
+
+    A model gets the record as a line of JSON under its ``key``, which must be unique. Each model of the
+    configuration is one pass over the records that are routed to it.
+    """
+    line = F.to_json(F.struct(*[c for c in records.columns])).alias("_line")
+    calls = None
+    for m in models:
+        own = records.where(routed(F.col("verdict"), F.array(*map(F.lit, m.when)))).select(key, line)
+        said = call_adapter(own, make(m), key, "_line").select(F.col(key).alias("_key"), F.struct(F.lit(m.ordinal).alias("ordinal"), F.lit(m.id).alias("model_id"), "ok", "code", "outputs").alias("_x"))
+        calls = said if calls is None else calls.unionByName(said)
+    if calls is None:
+        return records.withColumn("analyses", F.array())
+    per = calls.groupBy("_key").agg(F.array_sort(F.collect_list("_x")).alias("analyses"))
+    return records.join(per, records[key] == per["_key"], "left").drop("_key").withColumn("analyses", F.coalesce("analyses", F.array()))
+
+
 def verified(records: DataFrame, files: DataFrame) -> DataFrame:
     """Records bound again to their files: null, or the reason why a record must not be enriched."""
     joined = records.join(files, "relative_path", "left")

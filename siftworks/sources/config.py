@@ -11,7 +11,7 @@ from ..functions import scalars as S
 
 SCHEMA = (
     "ordinal int, id string, adapter string, enabled boolean, trusted boolean, url string, tasks array<string>, `when` array<string>, "
-    "timeout_seconds double, auth_env string, mode string, acknowledged boolean"
+    "timeout_seconds double, auth_env string, mode string, acknowledged boolean, command array<string>, max_response_kib int"
 )
 #: Bounds of the privacy numbers, least, most, default.
 BOUNDS = {"remote_max_edge": (128, 8192, 1280), "remote_jpeg_quality": (40, 95, 85), "max_upload_mib": (1, 128, 8), "max_response_kib": (1, 16384, 256)}
@@ -40,7 +40,8 @@ def model_rows(text: str) -> list[tuple]:
     for k, m in enumerate(config.get("models", []), 1):
         rows.append(
             (k, m["id"], m["adapter"], m.get("enabled", True), m.get("trusted", False), m.get("url"), m.get("tasks", []),
-             [w.upper() for w in m.get("when", [])], float(m.get("timeout_seconds", 30.0)), m.get("auth_env"), privacy["mode"], privacy["acknowledged"])
+             [w.upper() for w in m.get("when", [])], float(m.get("timeout_seconds", 30.0)), m.get("auth_env"), privacy["mode"], privacy["acknowledged"],
+             m.get("command"), privacy["max_response_kib"])
         )
     return rows
 

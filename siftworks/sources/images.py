@@ -35,7 +35,15 @@ def read_images(spark: SparkSession, root: str, most: int = MAX_BYTES) -> DataFr
 
     The size test reaches the scan of the first branch, so only files within the limit are opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(supported(F.col("path")))
+    return _bounded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(supported(F.col("path"))), most)
+
+
+def load_images(spark: SparkSession, paths: list[str], most: int = MAX_BYTES) -> DataFrame:
+    """The same of some named files, whatever their suffix."""
+    return _bounded(spark.read.format("binaryFile").load(paths), most)
+
+
+def _bounded(files: DataFrame, most: int) -> DataFrame:
     small = files.where(F.col("length") <= most)
     read = small.select("path", "length", F.sha2("content", 256).alias("sha256"), "content", F.lit(None).cast("string").alias("code"))
     big = files.where(F.col("length") > most)

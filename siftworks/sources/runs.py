@@ -23,16 +23,20 @@ def _fs(spark: SparkSession, path: str):
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file in one step: a temporary file that is then renamed, on any Hadoop file system."""
-    fs, target = _fs(spark, path)
-    part = spark._jvm.org.apache.hadoop.fs.Path(path + ".part")
+    fs, part = _fs(spark, path + ".part")
     out = fs.create(part, True)
     out.write(bytearray(text.encode()))
     out.close()
-    # one step: a reader sees the former file or the new one
+    replace(spark, path + ".part", path)
+
+
+def replace(spark: SparkSession, part: str, path: str) -> None:
+    """Rename over a file that may be there, in one step: a reader sees the former file or the new one."""
+    fs, target = _fs(spark, path)
     rename = spark._jvm.org.apache.hadoop.fs.Options.Rename
     how = spark.sparkContext._gateway.new_array(rename, 1)
     how[0] = rename.OVERWRITE
-    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(part), fs.makeQualified(target), how)
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(_fs(spark, part)[1]), fs.makeQualified(target), how)
 
 
 def get_json(spark: SparkSession, path: str) -> dict:

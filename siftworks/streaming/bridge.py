@@ -61,23 +61,27 @@ def requests(lines: DataFrame) -> DataFrame:
 def responses(lines: DataFrame, artifacts: DataFrame, roots: list[str], profiles: DataFrame) -> DataFrame:
     """One response a request: ok, verdict or code. Paths are never given back.
 
-    ``artifacts``: path, sha256, score. Two lookups, both stream-static if ``lines`` is a stream; anything
+    ``artifacts``: path, sha256, score; where there are any, code (why a file has no score), animated, and inside
+    (whether the file lies below a root, links resolved; else the path itself is judged). Two lookups, both stream-static if ``lines`` is a stream; anything
     that fails is an error, never an ALLOW.
     """
     r = requests(lines)
     # one row a path, so that a request has one response
-    known = artifacts.groupBy(F.col("path").alias("_path")).agg(F.min(F.struct("sha256", "score")).alias("x")).select("_path", F.col("x.sha256").alias("_sha"), F.col("x.score").alias("_score"))
+    own = lambda name, kind: (F.col(name) if name in artifacts.columns else F.lit(None).cast(kind)).alias(f"_{name}")
+    full = F.struct(F.col("sha256").alias("_sha"), F.col("score").alias("_score"), own("code", "string"), own("animated", "boolean"), own("inside", "boolean"))
+    known = artifacts.groupBy(F.col("path").alias("_path")).agg(F.min(full).alias("x")).select("_path", "x.*")
     rows = r.join(known, r.path == known._path, "left").join(F.broadcast(profiles), "policy", "left")
     scan = F.col("operation") == "scan"
     bound = V.digest_binding(F.col("claimed"), F.col("_sha"))
     code = F.coalesce(
         F.col("code"),
-        F.when(scan & F.col("_sha").isNull(), CODES["input"]),
-        F.when(scan & ~V.inside_root(F.col("path"), roots), CODES["path"]),
+        F.when(scan & F.col("_sha").isNull() & F.col("_code").isNull(), CODES["input"]),
+        F.when(scan & ~F.coalesce("_inside", V.inside_root(F.col("path"), roots)), CODES["path"]),
         F.when(scan & (bound == "malformed"), CODES["input"]),
-        F.when(scan & (bound == "mismatch"), "artifact_digest_mismatch"),
+        F.when(scan & F.col("_sha").isNotNull() & (bound == "mismatch"), "artifact_digest_mismatch"),
+        F.when(scan, F.col("_code")),
     )
-    verdict = F.when(code.isNull() & scan, P.verdict(F.col("_score"), F.col("review_threshold"), F.col("block_threshold")))
+    verdict = F.when(code.isNull() & scan & F.coalesce("_animated", F.lit(False)), "REVIEW").when(code.isNull() & scan, P.verdict(F.col("_score"), F.col("review_threshold"), F.col("block_threshold")))
     status = F.when(code.isNull() & ~scan, "ready")
     extra = [c for c in lines.columns if c != "text"]
     return rows.select(*extra, F.lit(PROTOCOL).alias("protocol"), "id", code.isNull().alias("ok"), verdict.alias("verdict"), status.alias("status"), code.alias("code"))

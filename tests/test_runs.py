@@ -26,9 +26,11 @@ def folder(tmp_path):
 
 def test_folder_run(spark, folder, tmp_path, capsys):
     out = f"file://{tmp_path}/out"
-    code = cli.main(["folder", f"file://{folder}", "--output", out, "--fail-on", "error"], spark)
+    code = cli.main(["folder", f"file://{folder}", "--output", out, "--fail-on", "error", "--links", f"file://{tmp_path}/links"], spark)
     summary = json.loads(capsys.readouterr().out)
     assert code == 30 and summary["scanned_count"] == 7 and summary["counts"]["ERROR"] == 1
+    links = tmp_path / "links" / summary["run_id"]
+    assert len(list(links.glob("*/*.url"))) == summary["flagged_count"] and (links / "ERROR" / "index.html").exists()
     latest = runs.get_json(spark, f"{out}/latest.json")
     there = runs.resolve_input(spark, latest["summary"])
     rows = spark.read.json(there["results"])
