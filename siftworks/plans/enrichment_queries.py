@@ -362,6 +362,24 @@ def decode_header(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("name", images.header(F.unhex("hex")).alias("h")).select("name", "h.*")
 
 
+@query("bridge_documents", f"""with {B.ART}, q as (select *, case when doc_id % 10 = 0 then '/etc/' else '/in/' end || relative_path as path, ['low-threshold-v1', 'medium-threshold-v1', 'none'][(1 + doc_id % 3)::int] as policy from art),
+  c as (select *, case when policy = 'none' then 'invalid_input' when doc_id % 10 = 0 then 'path_outside_allowed_roots' when doc_id % 7 = 0 then 'artifact_digest_mismatch' end as code from q)
+  select 'd' || doc_id as id, code is null as ok, code, case when code is null and animated then 'REVIEW' when code is null and policy = 'low-threshold-v1' then {B.verdict_sql('score', '0.15::double', '0.65::double')}
+  when code is null then {B.verdict_sql('score')} end as verdict from c""")
+def bridge_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A request for every document: some outside the roots, some with another digest, some under no policy."""
+    a = B.artifacts(spark, sf)
+    path = F.concat(F.when(F.col("doc_id") % 10 == 0, "/etc/").otherwise("/in/"), "relative_path")
+    policy = F.element_at(F.array(*map(F.lit, ("low-threshold-v1", "medium-threshold-v1", "none"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    claimed = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.lit("0"), 64)).otherwise(F.upper("sha256"))
+    request = F.struct(
+        F.lit(bridge.PROTOCOL).alias("protocol"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("scan").alias("operation"),
+        F.struct(F.lit("file").alias("kind"), path.alias("path"), claimed.alias("sha256")).alias("artifact"), F.struct(policy.alias("profile")).alias("policy"),
+    )
+    known = a.select(path.alias("path"), "sha256", "score", "animated")
+    return bridge.responses(a.select(F.to_json(request).alias("text")), known, ["/in"], policy_table(spark)).select("id", "ok", "code", "verdict")
+
+
 @query("model_verify")
 def model_verify(spark: SparkSession, sf: str) -> DataFrame:
     """A table file against its own digest and against another."""

@@ -15,9 +15,9 @@ _METRIC = """count(value) as n, count(value) <= 10000 as quantiles_exact, min(va
   list_sort(list(value))[greatest(1, floor(count(value) * 0.95::double))::int] as p95_floor, list_sort(list(value))[greatest(1, ceil(count(value) * 0.95::double))::int] as p95_ceil, max(value) as max"""
 
 
-@query("timing_metrics", f"select {_METRIC} from events where event_type = 'click'")
+@query("timing_metrics", f"select {_METRIC} from events")
 def timing_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return M.timing_metrics(B.table(spark, sf, "events").where("event_type = 'click'").select("value"), "value", [])
+    return M.timing_metrics(B.table(spark, sf, "events").select("value"), "value", [])
 
 
 @query("timing_metrics_by_type", f"select event_type, {_METRIC} from events group by event_type")
@@ -34,10 +34,10 @@ def stage_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("bench_summary", """select count(*) as runs, median(value) as p50, list_sort(list(value))[ceil(count(*) * 0.95::double)::int] as p95, round(avg(value), 6) as mean,
-  round(count(*) / (sum(value) / 1000.0::double), 4) as throughput from events where event_type = 'view'""")
+  round(count(*) / (sum(value) / 1000.0::double), 4) as throughput from events""")
 def bench_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest-rank quantiles, and runs a second of summed milliseconds."""
-    v = B.table(spark, sf, "events").where("event_type = 'view'").select("value")
+    v = B.table(spark, sf, "events").select("value")
     m = M.timing_metrics(v, "value", []).select(F.col("n").alias("runs"), "p50", F.col("p95_ceil").alias("p95"), "mean")
     total = v.agg(F.round(F.count("value") / (F.sum("value") / 1000.0), 4).alias("throughput"))
     return m.crossJoin(F.broadcast(total))  # one row each
@@ -176,15 +176,15 @@ def chart_points(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("event_id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-_GRID = """g as (select i as case_id, (i % 7 * 4 + 1)::bigint cpus, ((i % 5) * 700 + 300)::bigint budget, ((i % 11) * 90000000 + 50000000)::bigint rss, case when i % 4 = 0 then null else (i % 9 + 1)::bigint end requested from range(200) t(i))"""
+_GRID = """g as (select i as case_id, (i % 7 * 4 + 1)::bigint cpus, ((i % 5) * 700 + 300)::bigint budget, ((i % 11) * 90000000 + 50000000)::bigint rss, case when i % 4 = 0 then null else (i % 9 + 1)::bigint end requested from (select event_id as i from events))"""
 
 
 @query("worker_plan", f"""with {_GRID}, p as (select *, ceil(rss / 1048576.0::double)::bigint base, least(4, greatest(1, cpus // 4)) cap from g),
   q as (select *, greatest(1, floor((budget - base - 96) / 128.0::double)::bigint) slots from p), r as (select *, greatest(1, least(cap, slots)) rec from q)
   select case_id, rec::bigint as recommended, coalesce(requested, rec)::bigint as effective, (2 * coalesce(requested, rec))::bigint as max_in_flight, base + 96 + 128 * coalesce(requested, rec) > budget as over_budget from r""")
 def worker_plan(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    g = spark.range(200).select(
+    i = F.col("event_id")
+    g = B.table(spark, sf, "events").select(
         i.alias("case_id"), (i % 7 * 4 + 1).alias("cpus"), (i % 5 * 700 + 300).alias("budget"), (i % 11 * 90000000 + 50000000).alias("rss"),
         F.when(i % 4 != 0, i % 9 + 1).alias("requested"),
     )
@@ -195,12 +195,12 @@ def worker_plan(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("case_id", recommended.alias("recommended"), effective.alias("effective"), (2 * effective).alias("max_in_flight"), (base + 96 + 128 * effective > F.col("budget")).alias("over_budget"))
 
 
-@query("thread_plan", """with g as (select i as case_id, case when i % 3 = 0 then 'cuda' else 'cpu' end provider, (i % 4 * 2)::bigint requested, case when i % 5 = 0 then null else (i % 6 + 1)::bigint end workers, case when i % 7 = 0 then null else (i % 25)::bigint end physical from range(200) t(i)),
+@query("thread_plan", """with g as (select i as case_id, case when i % 3 = 0 then 'cuda' else 'cpu' end provider, (i % 4 * 2)::bigint requested, case when i % 5 = 0 then null else (i % 6 + 1)::bigint end workers, case when i % 7 = 0 then null else (i % 25)::bigint end physical from (select event_id as i from events)),
   p as (select *, greatest(1, coalesce(nullif(physical, 0), 1)) cores from g)
   select case_id, (case when requested <> 0 or provider <> 'cpu' then requested else greatest(1, least(4, cores // coalesce(workers, least(4, cores)))) end)::bigint as threads from p""")
 def thread_plan(spark: SparkSession, sf: str) -> DataFrame:
-    i = F.col("id")
-    g = spark.range(200).select(
+    i = F.col("event_id")
+    g = B.table(spark, sf, "events").select(
         i.alias("case_id"), F.when(i % 3 == 0, "cuda").otherwise("cpu").alias("provider"), (i % 4 * 2).alias("requested"),
         F.when(i % 5 != 0, i % 6 + 1).alias("workers"), F.when(i % 7 != 0, i % 25).alias("physical"),
     )

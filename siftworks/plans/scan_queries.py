@@ -111,10 +111,15 @@ def policy_violations(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("review", "block", (~P.valid_policy(F.col("review"), F.col("block"))).alias("violated"))
 
 
-@query("softmax_scores", "with e as (select vec_id, embedding[1]::double a, embedding[2]::double b from embeddings) select vec_id, round(exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) as nsfw from e")
+@query("softmax_scores", """with p as (select vec_id, unnest(range(0, len(embedding) // 2)) as pair, embedding from embeddings), e as (select vec_id, pair, embedding[(2 * pair + 1)::int]::double a, embedding[(2 * pair + 2)::int]::double b from p)
+  select vec_id, pair::bigint as pair, round(exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b))), 6) as nsfw from e""")
 def softmax_scores(spark: SparkSession, sf: str) -> DataFrame:
-    e = B.table(spark, sf, "embeddings")
-    return e.select("vec_id", F.round(S.stable_softmax(F.element_at("embedding", 1).cast("double"), F.element_at("embedding", 2).cast("double")), 6).alias("nsfw"))
+    """Each pair of neighbouring numbers of a vector as two logits."""
+    v = F.col("embedding")
+    logits = lambda k: F.struct(F.element_at(v, 2 * k + 1).cast("double").alias("a"), F.element_at(v, 2 * k + 2).cast("double").alias("b"))
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size(v)), lambda k: 2 * k + 2 <= F.size(v)), logits)
+    e = B.table(spark, sf, "embeddings").select("vec_id", F.posexplode(pairs).alias("pair", "x"))
+    return e.select("vec_id", F.col("pair").cast("long").alias("pair"), F.round(S.stable_softmax(F.col("x.a"), F.col("x.b")), 6).alias("nsfw"))
 
 
 @query("normalize_vector", "select l_orderkey, l_linenumber, l_partkey, list_transform([l_quantity, l_discount * 100, l_tax * 100], lambda x: round((x / 255.0::double - 0.5::double) / 0.5::double, 6)) as pixels from lineitem")
