@@ -20,11 +20,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return counted.join(starts, "file_path").select("file_path", (F.col("_k") - F.col("_start") + 1).alias("line"), "text")
 
 
-def json_kind(text: Column) -> Column:
-    """object, array, string, number, boolean, null, or invalid."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
+def kind_of(value: Column) -> Column:
+    """object, array, string, number, boolean, null of a variant, or missing where there is none."""
+    kind = F.schema_of_variant(value)
     return (
-        F.when(F.try_parse_json(text).isNull(), "invalid")
+        F.when(value.isNull(), "missing")
         .when(kind.startswith("OBJECT"), "object")
         .when(kind.startswith("ARRAY"), "array")
         .when(kind == "STRING", "string")
@@ -34,19 +34,15 @@ def json_kind(text: Column) -> Column:
     )
 
 
+def json_kind(text: Column) -> Column:
+    """object, array, string, number, boolean, null, or invalid."""
+    value = F.try_parse_json(text)
+    return F.when(value.isNull(), "invalid").otherwise(kind_of(value))
+
+
 def field_kind(text: Column, name: str) -> Column:
-    """Kind of a top-level field; missing where there is none."""
-    v = F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant")
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), "missing")
-        .when(kind.startswith("OBJECT"), "object")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind == "VOID", "null")
-        .otherwise("number")
-    )
+    """Kind of a field; missing where there is none."""
+    return kind_of(F.try_variant_get(F.try_parse_json(text), f"$.{name}", "variant"))
 
 
 def canonical(text: Column) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import policy as P
 from ..operators import validate as V
-from ..sources.jsonl import field_kind, json_kind
+from ..sources.jsonl import kind_of
 
 #: Protocol name, limits in characters.
 PROTOCOL = "safety-bridge/v1"
@@ -17,8 +17,18 @@ MAX_LINE, MAX_ID, MAX_PATH = 1_048_576, 128, 4096
 CODES = {"protocol": "bridge_protocol_error", "input": "invalid_input", "path": "path_outside_allowed_roots"}
 
 
-def _get(text: Column, path: str) -> Column:
-    return F.try_variant_get(F.try_parse_json(text), path, "string")
+#: Fields of a request, by the name under which they are checked.
+FIELDS = {"id": "id", "protocol": "protocol", "operation": "operation", "artifact": "artifact", "kind": "artifact.kind", "path": "artifact.path", "sha256": "artifact.sha256", "policy": "policy", "profile": "policy.profile"}
+KINDS = ("id", "artifact", "path", "sha256", "policy", "profile")
+TEXTS = ("id", "protocol", "operation", "kind", "path", "sha256", "profile")
+
+
+def _fields(lines: DataFrame) -> DataFrame:
+    """The lines with struct columns _is, kinds of fields, and _in, their texts. Each line is parsed once."""
+    parsed = lines.where(F.trim("text") != "").withColumn("_json", F.try_parse_json("text"))
+    at = lambda name, kind: F.try_variant_get("_json", f"$.{FIELDS[name]}", kind)
+    kinds = F.struct(kind_of(F.col("_json")).alias("line"), *[kind_of(at(name, "variant")).alias(name) for name in KINDS])
+    return parsed.withColumns({"_is": kinds, "_in": F.struct(*[at(name, "string").alias(name) for name in TEXTS])}).drop("_json")
 
 
 def requests(lines: DataFrame) -> DataFrame:
@@ -26,34 +36,31 @@ def requests(lines: DataFrame) -> DataFrame:
 
     Checks come in protocol order; the id is given back only once it is valid.
     """
-    t = F.col("text")
-    ident, operation = _get(t, "$.id"), _get(t, "$.operation")
-    good_id = (field_kind(t, "id") == "string") & (F.length(ident) > 0) & (F.length(ident) <= MAX_ID) & ~ident.rlike("[\\x00-\\x1f]")
-    scan = operation == "scan"
-    sha = field_kind(t, "artifact.sha256")
-    path = _get(t, "$.artifact.path")
-    profile = field_kind(t, "policy.profile")
+    kind, text = (lambda name: F.col(f"_is.{name}")), (lambda name: F.col(f"_in.{name}"))
+    good_id = (kind("id") == "string") & (F.length(text("id")) > 0) & (F.length(text("id")) <= MAX_ID) & ~text("id").rlike("[\\x00-\\x1f]")
+    scan = text("operation") == "scan"
+    profile = F.coalesce(text("profile"), F.lit(P.DEFAULT_POLICY))
     code = V.first_failed(
         (F.length("text") <= MAX_LINE, CODES["protocol"]),
-        (json_kind(t) == "object", CODES["protocol"]),
+        (kind("line") == "object", CODES["protocol"]),
         (good_id, CODES["protocol"]),
-        (_get(t, "$.protocol") == PROTOCOL, CODES["protocol"]),
-        (operation.isin("health", "scan"), CODES["protocol"]),
-        (~scan | (field_kind(t, "artifact") == "object"), CODES["protocol"]),
-        (~scan | (_get(t, "$.artifact.kind") == "file"), CODES["protocol"]),
-        (~scan | ((field_kind(t, "artifact.path") == "string") & (F.length(path) >= 1) & (F.length(path) <= MAX_PATH)), CODES["protocol"]),
-        (~scan | sha.isin("string", "null", "missing"), CODES["protocol"]),
-        (~scan | field_kind(t, "policy").isin("object", "missing"), CODES["protocol"]),
-        (~scan | profile.isin("string", "missing"), CODES["protocol"]),
-        (~scan | F.coalesce(_get(t, "$.policy.profile"), F.lit(P.DEFAULT_POLICY)).isin([p for p, _, _ in P.POLICIES]), CODES["input"]),
+        (text("protocol") == PROTOCOL, CODES["protocol"]),
+        (text("operation").isin("health", "scan"), CODES["protocol"]),
+        (~scan | (kind("artifact") == "object"), CODES["protocol"]),
+        (~scan | (text("kind") == "file"), CODES["protocol"]),
+        (~scan | ((kind("path") == "string") & (F.length(text("path")) >= 1) & (F.length(text("path")) <= MAX_PATH)), CODES["protocol"]),
+        (~scan | kind("sha256").isin("string", "null", "missing"), CODES["protocol"]),
+        (~scan | kind("policy").isin("object", "missing"), CODES["protocol"]),
+        (~scan | kind("profile").isin("string", "missing"), CODES["protocol"]),
+        (~scan | profile.isin([p for p, _, _ in P.POLICIES]), CODES["input"]),
     )
-    return lines.where(F.trim("text") != "").select(
-        "*",
-        F.when(F.coalesce(good_id & (F.length("text") <= MAX_LINE), F.lit(False)), ident).alias("id"),
-        operation.alias("operation"),
-        path.alias("path"),
-        _get(t, "$.artifact.sha256").alias("claimed"),
-        F.coalesce(_get(t, "$.policy.profile"), F.lit(P.DEFAULT_POLICY)).alias("policy"),
+    return _fields(lines).select(
+        *lines.columns,
+        F.when(F.coalesce(good_id & (F.length("text") <= MAX_LINE), F.lit(False)), text("id")).alias("id"),
+        text("operation").alias("operation"),
+        text("path").alias("path"),
+        text("sha256").alias("claimed"),
+        profile.alias("policy"),
         code.alias("code"),
     )
 
