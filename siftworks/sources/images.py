@@ -1,16 +1,22 @@
-"""Image folders as DataFrames: discovery, bounded bytes, headers, and a driver-side listing for hidden paths."""
+"""Image folders as DataFrames: discovery, bounded bytes, headers, and a walk for hidden paths."""
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.order import staged
 from ..operators.scan import supported
 
 MAX_BYTES = 25 << 20
+#: Entries of a folder that a task holds at a time.
+LISTED = 10_000
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
@@ -19,15 +25,29 @@ def list_images(spark: SparkSession, root: str) -> DataFrame:
     return files.where(supported(F.col("path")))
 
 
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """path, length and whether it is a folder, of what lies in each folder; no links."""
+    for b in batches:
+        for folder in b["path"]:
+            with os.scandir(folder) as entries:
+                own = ((e.path, e.stat(follow_symlinks=False).st_size, e.is_dir(follow_symlinks=False)) for e in entries if not e.is_symlink())
+                while rows := list(islice(own, LISTED)):
+                    yield pd.DataFrame(rows, columns=["path", "length", "folder"])
+
+
 def walk_images(spark: SparkSession, root: str) -> DataFrame:
-    """The same by a walk on the driver, for roots with hidden folders, which Spark's listing leaves out. No links."""
-    rows = []
-    for folder, _, names in os.walk(root):
-        for name in names:
-            full = os.path.join(folder, name)
-            if not os.path.islink(full):
-                rows.append((full, os.path.getsize(full)))
-    return spark.createDataFrame(rows, "path string, length long").where(supported(F.col("path")))
+    """The same by a walk, for mounted roots with hidden folders, which Spark's listing leaves out. No links.
+
+    Tasks list the folders of one depth at a time, so no list of files is gathered; an unreadable folder is an error.
+    """
+    folders, found = spark.createDataFrame([(root,)], "path string"), None
+    while True:
+        level = staged(folders.repartition("path").mapInPandas(_listed, "path string, length long, folder boolean"))
+        files = level.where(~F.col("folder")).select("path", "length")
+        found = files if found is None else found.union(files)
+        folders = level.where("folder").select("path")
+        if folders.isEmpty():
+            return found.where(supported(F.col("path")))
 
 
 def read_images(spark: SparkSession, root: str, most: int = MAX_BYTES) -> DataFrame:

@@ -10,7 +10,7 @@ from xml.etree import ElementTree
 import pytest
 
 from siftworks import cli, measure, serve
-from siftworks.sources import history, models, review
+from siftworks.sources import history, images, models, review
 
 from .test_adapters import CHILD
 from .test_behaviour import png
@@ -135,3 +135,15 @@ def test_init_writes_models_that_are_off(spark, tmp_path, capsys):
     assert cli.main(["init", f"{tmp_path}/m.toml"], spark) == 0 and cli.main(["init", f"{tmp_path}/m.toml"], spark) == 30
     assert cli.main(["config", f"{tmp_path}/m.toml"], spark) == 0
     assert cli.main(["doctor", f"{tmp_path}/m.toml"], spark) == 0 and json.loads(capsys.readouterr().out)["models"] == []
+
+
+def test_walk_finds_hidden_folders_and_no_links(spark, tmp_path):
+    for name in ("a.png", ".hidden/b.JPG", ".hidden/deep/_c.webp", "x/notes.txt", "x/d.jpeg"):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(b"12")
+    (tmp_path / "in" / "l.png").symlink_to(tmp_path / "in" / "a.png")
+    (tmp_path / "in" / "y").symlink_to(tmp_path / "in" / "x")
+    got = {r.path.split("/in/")[1]: r.length for r in images.walk_images(spark, str(tmp_path / "in")).collect()}
+    assert got == {"a.png": 2, ".hidden/b.JPG": 2, ".hidden/deep/_c.webp": 2, "x/d.jpeg": 2}
+    (tmp_path / "none").mkdir()
+    assert images.walk_images(spark, str(tmp_path / "none")).collect() == []
