@@ -13,7 +13,10 @@ keeping them. Heads, a fifth of the shingles, travel packed: a task sends each b
 24 bytes a head. Whole sets travel for likely pairs alone. A shingle with more than SMALL classes gives stars
 of candidates, not all pairs: their middles are the classes of least hash, so that shingles of the same
 classes agree on them. Once these are joined to components, only members of different components are paired,
-as far as their sketches (there at most MOST_SKETCH bits) let them. No task holds all members of a shingle
+as far as their sketches (there at most MOST_SKETCH bits) let them. Of these pairs a round takes a spanning
+forest of the components, likeliest pairs first, so it checks fewer pairs than it reads rows; what it leaves
+is read again with the components that are then known. Groups of near copies become one component in these
+FORESTS rounds; the last round takes every pair that is still between two components, so none is lost. No task holds all members of a shingle
 that is in very many heads: above WIDE heads they go to several buckets by their classes, each of which reports
 its members, and above TILE members they are paired in tiles of two blocks, by classes of size and by hash.
 """
@@ -48,6 +51,10 @@ MOST_TILED = 1 << 17
 SKETCH, MOST_SKETCH = 512, 4096
 #: Of the crowded shingles of a class, so many are known wherever it is paired.
 FIRST = 8
+#: Rounds in which crowded shingles give forests; the last round gives all pairs that are left.
+FORESTS = 2
+#: Candidates of a tile that are held at once.
+HELD_PAIRS = 100_000
 #: Candidates' classes up to so many are broadcast (8 bytes each); above, a join picks their sets.
 MOST_IDS = 4 << 20
 
@@ -336,11 +343,6 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own[0]), b.column("k")[i].as_py())), *map(pa.array, own)], names=["k", "c", "n", "p"])
 
 
-def _pair_batch(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    pairs = _distinct_pairs(u, v)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-
 class _Differences:
     """Bits in which sketches differ; they come by rising size, and a pair's sizes are equal or twice each other."""
 
@@ -363,38 +365,86 @@ class _Differences:
         return np.concatenate(out)
 
 
-@trimmed
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of crowded shingles whose components (r) differ and whose sketches (s) may reach LEAST.
+def _forest(x: np.ndarray, y: np.ndarray, unlike: np.ndarray, n: int) -> np.ndarray:
+    """Indexes of the edges (x, y) of a spanning forest over ``n`` nodes, the least unlike first (Kruskal)."""
+    up = list(range(n))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    kept = []
+    order = np.argsort(unlike, kind="stable")
+    for e, i, j in zip(order.tolist(), x[order].tolist(), y[order].tolist(), strict=True):
+        i, j = top(i), top(j)
+        if i != j:
+            up[i] = j
+            kept.append(e)
+    return np.array(kept, dtype=np.int64)
+
+
+_PAIRS = "u long, v long, t long"
+
+
+def _found_batch(u: np.ndarray, v: np.ndarray, t: list[int]) -> pa.RecordBatch:
+    pairs = _distinct_pairs(u, v)
+    columns = [pa.concat_arrays([pa.array(pairs[:, i]), pa.nulls(len(t), pa.int64())]) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*columns, pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(t, pa.int64())])], names=["u", "v", "t"])
+
+
+def _across(forest: bool):
+    """Candidates (u, v) of crowded shingles whose components (r) differ and whose sketches (s) may reach LEAST.
 
     A pair that shares more of these shingles is left to the first of them in the order, as far as the FIRST
     of each member tell: there both have more of their sets before them, so what may reach LEAST here may there.
     Rows come by tiles t; members of side 0 are paired with each other, those of side 1 with those of side 2.
+    With ``forest`` a tile gives a spanning forest of its components, and its t alone if that left candidates out.
     """
-    us, vs, held = [], [], 0
-    for t, c, k, n, p, side, r, s, *firsts in _groups(batches):
-        n, p, side, firsts = n.astype(np.int64), p.astype(np.int64), side.astype(np.int64), np.column_stack(firsts)
-        at = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
-        for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if (r[a:e] == r[a]).all():
-                continue
-            stops = a + np.searchsorted(n[a:e], n[a:e] * LEAST[1] // LEAST[0], side="right")
-            differ = _Differences(s[a:e])
-            for i, stop in zip(range(a, e), stops.tolist(), strict=True):
-                j = np.arange(i + 1, stop)
-                j = j[(r[j] != r[i]) & (side[j] == (0, 2, 1)[side[i]])]
-                j = j[_may_reach(n, p, np.full(len(j), i), j)]
-                here = np.flatnonzero(firsts[i] == k[i])
-                j = j[~np.isin(firsts[j], firsts[i][: here[0]] if len(here) else firsts[i]).any(axis=1)]
-                j = j[differ(i - a, j - a) * sum(LEAST) <= (n[j] + n[i]) * (LEAST[1] - LEAST[0])]
-                us.append(np.full(len(j), c[i]))
-                vs.append(c[j])
-                held += len(j)
-                if held > 100_000:
-                    yield _pair_batch(np.concatenate(us), np.concatenate(vs))
-                    us, vs, held = [], [], 0
-    if held:
-        yield _pair_batch(np.concatenate(us), np.concatenate(vs))
+
+    @trimmed
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, c, k, n, p, side, r, s, *firsts in _groups(batches):
+            n, p, side, firsts = n.astype(np.int64), p.astype(np.int64), side.astype(np.int64), np.column_stack(firsts)
+            at = np.concatenate(([0], np.flatnonzero(t[1:] != t[:-1]) + 1, [len(t)]))
+            for a, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if (r[a:e] == r[a]).all():
+                    continue
+                node = np.unique(r[a:e], return_inverse=True)[1]
+                stops = a + np.searchsorted(n[a:e], n[a:e] * LEAST[1] // LEAST[0], side="right")
+                differ = _Differences(s[a:e])
+                held: list[list[np.ndarray]] = []
+                size, left = 0, False
+
+                def own() -> list[np.ndarray]:
+                    nonlocal left
+                    x = [np.concatenate(y) for y in zip(*held, strict=True)]  # noqa: B023
+                    if forest:
+                        keep = _forest(node[x[0]], node[x[1]], x[2], len(node))  # noqa: B023
+                        left |= len(keep) < len(x[0])
+                        x = [y[keep] for y in x]
+                    return x
+
+                for i, stop in zip(range(a, e), stops.tolist(), strict=True):
+                    j = np.arange(i + 1, stop)
+                    j = j[(r[j] != r[i]) & (side[j] == (0, 2, 1)[side[i]])]
+                    j = j[_may_reach(n, p, np.full(len(j), i), j)]
+                    here = np.flatnonzero(firsts[i] == k[i])
+                    j = j[~np.isin(firsts[j], firsts[i][: here[0]] if len(here) else firsts[i]).any(axis=1)]
+                    bits, both = differ(i - a, j - a), n[j] + n[i]
+                    ok = bits * sum(LEAST) <= both * (LEAST[1] - LEAST[0])
+                    held.append([np.full(int(ok.sum()), i - a), j[ok] - a, bits[ok] / both[ok]])
+                    size += len(held[-1][0])
+                    if size > HELD_PAIRS:
+                        x = own()
+                        held, size = [x] if forest else [], 0
+                        if not forest:
+                            yield _found_batch(c[a + x[0]], c[a + x[1]], [])
+                if held:
+                    x = own()
+                    yield _found_batch(c[a + x[0]], c[a + x[1]], [int(t[a])] if left else [])
+
+    return run
 
 
 @trimmed
@@ -486,7 +536,7 @@ def _tiled(rows: DataFrame, members: DataFrame, tile: int) -> tuple[DataFrame, D
     return own.withColumn("x", F.explode(tiles)).select("x.*", *rows.columns), parts
 
 
-def _components(texts: DataFrame, classes: DataFrame, n_heads: int, hot_least: int = HOT, small: int = SMALL, wide: int = WIDE, tile: int = TILE) -> DataFrame:
+def _components(texts: DataFrame, classes: DataFrame, n_heads: int, hot_least: int = HOT, small: int = SMALL, wide: int = WIDE, tile: int = TILE, forests: int = FORESTS) -> DataFrame:
     """(node, root) of every class that is similar to another."""
     buckets = max(LEAST_BUCKETS, -(-n_heads // BUCKET_HEADS))
     hot, spread = _hot(texts, hot_least, wide)
@@ -499,18 +549,30 @@ def _components(texts: DataFrame, classes: DataFrame, n_heads: int, hot_least: i
         members = stage(crowded.mapInArrow(_members, "k long, c long, n int, p int"), "shingle-members")
         least = members.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("p", "k")))["k"].alias("f"))
         least = least.select("c", *[F.coalesce(F.get("f", F.lit(i)), F.lit(2**63 - 1)).alias(f"f{i}") for i in range(FIRST)])
-        rows = members.join(roots.withColumnRenamed("node", "c"), "c", "left").join(classes.mapInArrow(_short, "c long, s binary"), "c").join(least, "c")
-        rows = rows.select("k", "c", "n", "p", F.coalesce("root", "c").alias("r"), "s", *[f"f{i}" for i in range(FIRST)])
+        rows = members.join(classes.mapInArrow(_short, "c long, s binary"), "c").join(least, "c")
         rows, parts = _tiled(rows, members, tile)
-        rows = rows.select("t", "c", "k", "n", "p", "side", "r", "s", *[f"f{i}" for i in range(FIRST)])
-        more = rows.repartition("t").sortWithinPartitions("t", "n", "c").mapInArrow(_across, "u long, v long")
-        more = _similar(more, texts, classes)
-        unstage(members)
-        unstage(parts)
-        if not more.isEmpty():
-            former, roots = roots, stage(connected_components(links.union(more)), "shingle-cc")
-            unstage(former)
-        unstage(more)
+        firsts = [f"f{i}" for i in range(FIRST)]
+        staged, extra = [members, parts], []
+        for turn in range(forests + 1):
+            now = rows.join(roots.withColumnRenamed("node", "c"), "c", "left").select("t", "c", "k", "n", "p", "side", F.coalesce("root", "c").alias("r"), "s", *firsts)
+            now = now.repartition("t").sortWithinPartitions("t", "n", "c").mapInArrow(_across(turn < forests), _PAIRS)
+            now = stage(now, "shingle-across")
+            staged.append(now)
+            more = _similar(now.where("u is not null"), texts, classes)
+            staged.append(more)
+            if not more.isEmpty():
+                extra.append(more)
+                former, whole = roots, links
+                for x in extra:
+                    whole = whole.union(x)
+                roots = stage(connected_components(whole), "shingle-cc")
+                unstage(former)
+            left = now.where("t is not null").select("t").distinct()
+            if left.isEmpty():
+                break
+            rows = rows.join(left, "t", "left_semi")
+        for t in staged:
+            unstage(t)
     unstage(found)
     unstage(links)
     return roots

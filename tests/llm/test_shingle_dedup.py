@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftworks.llm import shingle_dedup as D
@@ -106,3 +107,24 @@ def test_crowded_shingles_are_spread_and_paired_in_tiles(spark):
         met |= {(a.k, min(a.c, b.c), max(a.c, b.c)) for a in own for b in own if a.c != b.c and (a.side, b.side) in ((0, 0), (1, 2))}
     for a, b in itertools.combinations(members.collect(), 2):
         assert a.k != b.k or 5 * min(a.n, b.n) < 4 * max(a.n, b.n) or (a.k, min(a.c, b.c), max(a.c, b.c)) in met
+
+
+
+def test_a_tile_of_near_copies_gives_a_forest_and_says_what_it_left():
+    rng = np.random.default_rng(6)
+    base, m = rng.integers(-(2**63), 2**63 - 1, 100), 60
+    h = [np.unique(np.concatenate((base[:95], rng.integers(-(2**63), 2**63 - 1, 5)))) for _ in range(m)]
+    s = D._sketches(np.concatenate(h), np.arange(m + 1) * 100)
+    most = np.full(m, 2**63 - 1)
+    firsts = [np.full(m, 7), *[most] * (D.FIRST - 1)]
+    tile = [np.full(m, 9), np.arange(m), np.full(m, 7), np.full(m, 100, np.int32), np.zeros(m, np.int32), np.zeros(m, np.int32), np.arange(m)]
+    names = [*"tcknp", "side", "r", "s", *[f"f{i}" for i in range(D.FIRST)]]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, tile), pa.array(s, pa.binary()), *map(pa.array, firsts)], names=names)
+    for forest, n, left in ((True, m - 1, [9]), (False, m * (m - 1) // 2, [])):
+        rows = [r for b in D._across(forest)(iter([batch])) for r in b.to_pylist()]
+        pairs = [(r["u"], r["v"]) for r in rows if r["t"] is None]
+        assert len(set(pairs)) == len(pairs) == n and [r["t"] for r in rows if r["t"] is not None] == left
+        roots = list(range(m))
+        for u, v in pairs:
+            roots = [roots[v] if x == roots[u] else x for x in roots]
+        assert len(set(roots)) == 1
