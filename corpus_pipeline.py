@@ -21,8 +21,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word similarity 0.8 or more stays, the one with the smallest doc_id.
 
-    SimHash at any radius that covering masks can afford loses most such pairs, so the groups are found exactly
-    by shared shingles (siftworks/llm/shingle_dedup.py). Texts without words are copies of each other.
+    Candidates are the documents whose SimHash fingerprints differ in at most 3 bits (covering masks, as in op4).
+    That radius loses most such pairs, so those by shared shingles follow, and all are checked exactly
+    (siftworks/llm/shingle_dedup.py). Texts without words are copies of each other.
     """
     return keep_one_of_each(docs)
 

@@ -1,4 +1,8 @@
-"""Near-duplicates by their shared five-word shingles: exact at similarity (Jaccard) LEAST or more.
+"""Near-duplicates by SimHash and by shared five-word shingles: exact at similarity (Jaccard) LEAST or more.
+
+Fingerprints within simhash.RADIUS bits give the first candidates, found by the covering masks of simhash.py. So
+few bits hold only the nearest copies (0.8 is about 10 bits apart), so candidates by shingles follow, which no
+pair of similarity LEAST escapes. All candidates go through one exact check.
 
 A document is the set of its SHINGLE-word shingles, hashed and lower-cased (A-Z); documents of equal sets
 are one class. Two sets of similarity 0.8 share 0.8 of either, so with all shingles in one order, the first
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ._stage import bounded_batches, connected_components, stage, unstage
 from ._text import Roller, Words, mix, text_slices, trim, trimmed, word_hashes
+from .simhash import fingerprint_links, fingerprints_of
 
 SHINGLE = 5
 #: Similarity as a fraction, so that it is compared in whole numbers.
@@ -117,15 +122,31 @@ def _folded(sketch: bytes, size: int) -> np.ndarray:
 def _class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for row0, c, h, bounds in _sets(b.column(1)):
-            columns = [b.column(0).slice(row0, len(c)), pa.array(c), pa.array(np.diff(bounds)), pa.array(_sketches(h, bounds), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "c", "n", "s"])
+            fp = fingerprints_of(b.column(1).slice(row0, len(c)).cast(pa.large_binary()).to_pylist()).view(np.int64)
+            columns = [b.column(0).slice(row0, len(c)), pa.array(c), pa.array(np.diff(bounds)), pa.array(_sketches(h, bounds), pa.binary()), pa.array(fp)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "c", "n", "s", "fp"])
 
 
 def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, c, the class, n, the size of its set, and s, its sketch, of every row."""
+    """doc_id, c, the class, n, the size of its set, s, its sketch, and fp, the SimHash fingerprint, of every row."""
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(_class_batches, "doc_id long, c long, n long, s binary")
+    return own.mapInArrow(_class_batches, "doc_id long, c long, n long, s binary, fp long")
+
+
+def by_fingerprint(sets: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Candidates (u, v) among classes whose fingerprints are equal or linked, and the tables to unstage after use.
+
+    The classes of one fingerprint give a star, as linked fingerprints do.
+    """
+    own = sets.select("fp", "c").distinct()
+    lows = stage(own.groupBy("fp").agg(F.min("c").alias("low")), "shingle-fp")
+    equal = own.join(lows, "fp").where("c <> low").select(F.col("c").alias("u"), F.col("low").alias("v"))
+    links, staged = fingerprint_links(lows)
+    for x in ("u", "v"):
+        links = links.join(lows.select(F.col("fp").alias(x), F.col("low").alias("low" + x)), x)
+    near = links.where("lowu <> lowv").select(F.least("lowu", "lowv").alias("u"), F.greatest("lowu", "lowv").alias("v"))
+    return equal.union(near).distinct(), [lows, *staged]
 
 
 def _head_arrays(column: pa.Array, late: np.ndarray) -> Iterator[list[np.ndarray]]:
@@ -536,13 +557,13 @@ def _tiled(rows: DataFrame, members: DataFrame, tile: int) -> tuple[DataFrame, D
     return own.withColumn("x", F.explode(tiles)).select("x.*", *rows.columns), parts
 
 
-def _components(texts: DataFrame, classes: DataFrame, n_heads: int, hot_least: int = HOT, small: int = SMALL, wide: int = WIDE, tile: int = TILE, forests: int = FORESTS) -> DataFrame:
-    """(node, root) of every class that is similar to another."""
+def _components(texts: DataFrame, classes: DataFrame, near: DataFrame, n_heads: int, hot_least: int = HOT, small: int = SMALL, wide: int = WIDE, tile: int = TILE, forests: int = FORESTS) -> DataFrame:
+    """(node, root) of every class that is similar to another; ``near``: candidates (u, v) from elsewhere, checked first."""
     buckets = max(LEAST_BUCKETS, -(-n_heads // BUCKET_HEADS))
     hot, spread = _hot(texts, hot_least, wide)
     heads = _heads(texts, hot, spread, buckets)
     found = stage(heads.groupBy("bucket").applyInArrow(_candidates(small, spread[0]), "u long, v long, k long, c binary, n binary, p binary"), "shingle-candidates")
-    links = _similar(found.where("u is not null"), texts, classes)
+    links = _similar(near.union(found.where("u is not null").select("u", "v")), texts, classes)
     roots = stage(connected_components(links), "shingle-cc")
     crowded = found.where("k is not null").select("k", "c", "n", "p")
     if not crowded.isEmpty():
@@ -590,11 +611,12 @@ def keep_one_of_each(docs: DataFrame, hot_least: int = HOT, small: int = SMALL,
     classes = stage(sets.groupBy("c").agg(F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("s").alias("s")), "shingle-classes")
     n = F.col("n")
     n_heads = sets.agg(F.sum(n - F.ceil(n * F.lit(LEAST[0]) / F.lit(LEAST[1])) + 1)).first()[0] or 0
-    roots = _components(docs.select(F.col("text").cast("string").alias("text")), classes.select("c", "n", "s"), int(n_heads), hot_least, small, wide, tile)
+    near, staged = by_fingerprint(sets)
+    roots = _components(docs.select(F.col("text").cast("string").alias("text")), classes.select("c", "n", "s"), near, int(n_heads), hot_least, small, wide, tile)
     rooted = classes.select("c", "low").join(roots.withColumnRenamed("node", "c"), "c", "left").select("c", "low", F.coalesce("root", "c").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("low"))
     keepers = rooted.select("c", "root").join(lows, "root").select("c", "low")
     gone = stage(sets.select("doc_id", "c").join(keepers, "c").where("doc_id <> low").select("doc_id").distinct(), "shingle-gone")
-    for t in (roots, classes, sets):
+    for t in (roots, classes, sets, *staged):
         unstage(t)
     return docs.join(gone, "doc_id", "left_anti")

@@ -128,3 +128,37 @@ def test_a_tile_of_near_copies_gives_a_forest_and_says_what_it_left():
         for u, v in pairs:
             roots = [roots[v] if x == roots[u] else x for x in roots]
         assert len(set(roots)) == 1
+
+
+def test_the_stage_checks_what_simhash_links(spark, monkeypatch):
+    import corpus_pipeline as P
+    from siftworks.llm import simhash as S
+
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(base[:200] + ["Word"] + base[200:]), " ".join(rng.choices(base, k=300)), "a b", "b a", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {r.doc_id: r for r in D.class_table(docs).collect()}
+    fps = S.fingerprints_of([(t or "").encode() for t in texts]).tolist()
+    assert [sets[i].fp % 2**64 for i in range(len(texts))] == fps
+    want = {tuple(sorted((sets[i].c, sets[j].c))) for i, j in itertools.combinations(range(len(texts)), 2) if sets[i].c != sets[j].c and (fps[i] ^ fps[j]).bit_count() <= S.RADIUS}
+    assert len(want) >= 1
+    checked, similar = [], D._similar
+
+    def seen(pairs, *more):
+        checked.extend((r.u, r.v) for r in pairs.select("u", "v").collect())
+        return similar(pairs, *more)
+
+    monkeypatch.setattr(D, "_similar", seen)
+    monkeypatch.setattr(D, "_candidates", lambda small, spread: lambda rows: D._FOUND.empty_table())  # SimHash alone
+    left = sorted(r.doc_id for r in P.simhash_dedup(spark, docs, "").collect())
+
+    def groups(pairs):
+        out = {x: {x} for pair in pairs for x in pair}
+        for u, v in pairs:
+            both = out[u] | out[v]
+            out |= dict.fromkeys(both, both)
+        return set(map(frozenset, out.values()))
+
+    assert groups(checked) == groups(want)  # linked fingerprints come as stars
+    assert 1 not in left and {0, 3, 4, 5, 6} <= set(left)
