@@ -1,17 +1,21 @@
 """URL filters: explicit host and path rules first, then association rules mined by FP-growth.
 
 A url becomes a set of tokens (host labels, path words, extension, query keys; numbers are one token). From
-labelled urls Spark's FP-growth mines token combinations that go with bad labels. A combination becomes a
+labelled urls FP-growth mines token combinations that go with bad labels. A combination becomes a
 rule if at least MIN_ROWS bad urls hold it, whatever their number, if its confidence is MIN_CONFIDENCE and,
 at the lower end of its 95 % interval, above the share of bad urls, and if no part of it is as confident.
 Rules match by an inverted index: each rule stands under its rarest token, so a url meets only the rules of
 its own tokens, and the rest of the combination is checked by set containment.
 
-What keeps mining small: tokens of fewer than MIN_ROWS bad urls cannot be in a rule and go first. Tokens that
-stand in the same urls (the parameters of one template) are one item, and a rule holds all of them. Of a url
-with more than WIDE items left, those that go most with bad labels are mined, so a url adds at most 2 ** WIDE
-combinations; this bounds what is fitted, while matching takes all tokens. Parts of a combination are looked
-up level by level, by equality of sets.
+FP-growth goes breadth first here: items are in order of rising frequency, a prefix has the rest of its urls as
+its conditional pattern base (equal rests are one row with counts, as in the tree), and the bases of all prefixes
+of one length are counted and cut down to the next length in a job. Every url is mined with all its items.
+What keeps mining small loses no rule: tokens of fewer than MIN_ROWS bad urls cannot be in a rule and go first.
+Tokens that stand in the same urls (the parameters of one template) are one item, and a rule holds all of them.
+If an item is in all good urls of a set, it cannot make that set, or any that holds it, more confident: such
+combinations go with all that hold them. A set of confidence 1 needs no more items. What is left are sets
+whose every item rules out good urls of its own; their number has no fixed bound (many items that come and go at
+random in good and bad urls alike have very many), and so the time has none.
 
 Scale: urls are reduced to distinct token sets before they meet the index (partial aggregation, so a hot
 host is one row a task), and the sets that a rule blocks come back by a join whose size is measured: up to
@@ -22,18 +26,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._stage import stage, unstage
 
 BROADCAST_BYTES = 4 << 20
-BAD = "=bad"
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.5
-#: Items of a url that are mined.
-WIDE = 16
 #: Normal quantile of the confidence interval.
 QUANTILE = 1.96
 
@@ -101,12 +101,12 @@ def tokens_of(url: Column) -> Column:
 
 
 def _items(baskets: DataFrame, rows: int) -> DataFrame:
-    """token, item, members, freq, lift: the tokens of at least ``rows`` bad urls, with the item that stands for them."""
+    """token, item, members, freq, bad: the tokens of at least ``rows`` bad urls, with the item that stands for them."""
     each = baskets.withColumn("h", F.xxhash64("t", "bad").cast("decimal(38,0)")).select(F.explode("t").alias("token"), "bad", "h")
     tally = each.groupBy("token").agg(F.count(F.lit(1)).alias("freq"), F.count_if("bad").alias("bad"), F.sum("h").alias("h")).where(F.col("bad") >= rows)
     # equal sums of hashes: the same urls
     same = tally.groupBy("freq", "bad", "h").agg(F.array_sort(F.collect_list("token")).alias("members"))
-    return same.select(F.explode("members").alias("token"), F.element_at("members", 1).alias("item"), "members", "freq", (F.col("bad") / F.col("freq")).alias("lift"))
+    return same.select(F.explode("members").alias("token"), F.element_at("members", 1).alias("item"), "members", "freq", "bad")
 
 
 def _lower_bound(part: Column, whole: Column) -> Column:
@@ -115,21 +115,74 @@ def _lower_bound(part: Column, whole: Column) -> Column:
     return (p + z * z / (2 * whole) - z * F.sqrt((p * (1 - p) + z * z / (4 * whole)) / whole)) / (1 + z * z / whole)
 
 
-def _not_beaten(sets: DataFrame) -> DataFrame:
-    """Of item sets (x, sorted; confidence) those without a part that is as confident, level by level."""
-    most = sets.agg(F.max(F.size("x"))).first()[0] or 0
-    level = stage(sets.where(F.size("x") == 1).withColumn("best", F.col("confidence")), "url-level")
-    kept = [level.select("x", "confidence")]
-    for k in range(2, most + 1):
-        own = sets.where(F.size("x") == k)
-        parts = own.select("x", F.explode(F.transform("x", lambda i: F.array_remove("x", i))).alias("part"))
-        below = parts.join(level.select(F.col("x").alias("part"), "best"), "part").groupBy("x").agg(F.max("best").alias("below"))
-        level = stage(own.join(below, "x").withColumn("best", F.greatest("below", "confidence")), "url-level")
-        kept.append(level.where(F.col("confidence") > F.col("below")).select("x", "confidence"))
-    out = kept[0]
-    for x in kept[1:]:
+def _may_be_rule(bad: Column, good: Column, share: float, confidence: float) -> Column:
+    return (bad / (bad + good) >= confidence) & (_lower_bound(bad, bad + good) > share)
+
+
+def _counted(bases: DataFrame, shorter: DataFrame, rows: int) -> DataFrame:
+    """x, bad, good, below, free: the sets one item longer than ``shorter``, the prefixes that ``bases`` belong to.
+
+    ``below`` is the confidence that a part has, of those that are known; a set is not free if an item of it
+    is in all good urls of the others.
+    """
+    own = bases.select("x", F.explode("tail").alias("i"), "bad", "good").groupBy("x", "i").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= rows)
+    own = own.select(F.array_append("x", F.col("i")).alias("x"), "bad", "good")
+    parts = own.select("x", "bad", "good", F.explode(F.transform("x", lambda i: F.array_remove("x", i))).alias("part"))
+    known = shorter.select(F.col("x").alias("part"), F.col("best"), F.col("free").alias("part_free"), F.col("good").alias("part_good"))
+    each = parts.join(known, "part", "left").groupBy("x", "bad", "good")
+    free = F.coalesce(F.bool_and("part_free"), F.lit(True)) & (F.col("good") < F.min("part_good"))
+    return each.agg(F.max("best").alias("below"), free.alias("free"))
+
+
+def _bases_below(bases: DataFrame, longer: DataFrame) -> DataFrame:
+    """x, tail, bad, good: the conditional bases of the sets ``longer`` (x, grows), from those of their prefixes."""
+    last = F.element_at("x", -1)
+    kin = longer.groupBy(F.slice("x", 1, F.size("x") - 1).alias("x")).agg(F.collect_list(last).alias("all"), F.collect_list(F.when(F.col("grows"), last)).alias("growing"))
+    own = bases.join(kin, "x").select("x", F.array_intersect("tail", "all").alias("tail"), "growing", "bad", "good")
+    each = own.select("x", "tail", "growing", "bad", "good", F.posexplode("tail").alias("at", "i")).where(F.array_contains("growing", F.col("i")))
+    return _merged(each.select(F.array_append("x", F.col("i")).alias("x"), _after("tail", "at").alias("tail"), "bad", "good"))
+
+
+def _after(tail: str, at: str) -> Column:
+    return F.slice(tail, F.col(at) + 2, F.size(tail))
+
+
+def _merged(bases: DataFrame) -> DataFrame:
+    return bases.where(F.size("tail") > 0).groupBy("x", "tail").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def _grow(paths: DataFrame, items: DataFrame, share: float, rows: int, confidence: float) -> DataFrame:
+    """(x, confidence): the sets of items that are rules. ``paths``: tail, bad, good (urls); ``items``: i, bad, good, free.
+
+    Not all parts of a set are known, since none grow from a set of confidence 1 or too few bad urls, but all rules
+    are, and of the parts that are as confident as a set the smallest of the most confident is a rule.
+    """
+    mine = F.col("bad") / (F.col("bad") + F.col("good"))
+    grows = (F.col("best") < 1) & (_lower_bound(F.col("bad"), F.col("bad")) > share)
+    level = items.select(F.array("i").alias("x"), "bad", "good", F.lit(0.0).alias("below"), "free")
+    roots = items.withColumn("best", mine).where(F.col("free") & grows).select("i")
+    bases = _merged(paths.select("tail", "bad", "good", F.posexplode("tail").alias("at", "i")).join(roots, "i").select(F.array("i").alias("x"), _after("tail", "at").alias("tail"), "bad", "good"))
+    found, tables = [], []
+    while True:
+        level = stage(level.withColumn("best", F.greatest("below", mine)), "url-level")
+        own = F.col("free") & (mine > F.col("below")) & _may_be_rule(F.col("bad"), F.col("good"), share, confidence)
+        found.append(level.where(own).select("x", mine.alias("confidence")))
+        if tables:
+            bases = _bases_below(bases, level.where("free").select("x", grows.alias("grows")))
+        bases = stage(bases, "url-bases")
+        tables += [level, bases]
+        if bases.isEmpty():
+            break
+        level = _counted(bases, level, rows)
+    out = found[0]
+    for x in found[1:]:
         out = out.union(x)
-    return out
+    out = stage(out, "url-found")
+    for t in tables:
+        unstage(t)
+    part = out.select(F.col("x").alias("part"), F.col("confidence").alias("part_confidence"), F.col("x")[0].alias("i"))
+    held = (F.size("part") < F.size("x")) & (F.col("part_confidence") >= F.col("confidence")) & (F.size(F.array_except("part", "x")) == 0)
+    return out.join(out.select("x", "confidence", F.explode("x").alias("i")).join(part, "i").where(held).select("x").distinct(), "x", "left_anti")
 
 
 def mine_rules(labelled: DataFrame, rows: int = MIN_ROWS, confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -144,21 +197,16 @@ def mine_rules(labelled: DataFrame, rows: int = MIN_ROWS, confidence: float = MI
     items = stage(_items(baskets, rows), "url-items")
     if n_bad < rows or items.isEmpty():
         return spark.createDataFrame([], "tokens array<string>, key string, confidence double")
-    numbered = baskets.withColumn("id", F.monotonically_increasing_id())
-    own = numbered.select("id", "bad", F.explode("t").alias("token")).join(items.where("token = item"), "token")
-    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("lift")).alias("a"), "item"))), 1, WIDE)["item"]
-    mined = own.groupBy("id", "bad").agg(first.alias("x"))
-    mined = stage(mined.select(F.when(F.col("bad"), F.array_append("x", F.lit(BAD))).otherwise(F.col("x")).alias("items")), "url-mined")
-    # FP-growth counts support as a share of the rows that it gets
-    found = FPGrowth(itemsCol="items", minSupport=(rows - 0.5) / mined.count(), minConfidence=1.0).fit(mined).freqItemsets
-    found = stage(found.select(F.array_sort("items").alias("x"), "freq"), "url-sets")
-    bad = found.where(F.array_contains("x", BAD) & (F.size("x") > 1)).select(F.array_remove("x", BAD).alias("x"), F.col("freq").alias("bad"))
-    sets = stage(bad.join(found, "x").select("x", (F.col("bad") / F.col("freq")).alias("confidence"), _lower_bound(F.col("bad"), F.col("freq")).alias("low")), "url-confidence")
-    rules = _not_beaten(sets.select("x", "confidence")).join(sets.select("x", "low"), "x").where((F.col("confidence") >= confidence) & (F.col("low") > n_bad / n))
-    whole = rules.select("x", "confidence", F.explode("x").alias("item")).join(items.where("token = item").select("item", "members", "freq"), "item")
+    good = F.col("freq") - F.col("bad")
+    numbers = stage(items.where("token = item").orderBy("freq", "item").select("item", "freq", "bad", good.alias("good"), (good < n - n_bad).alias("free"), F.monotonically_increasing_id().alias("i")), "url-numbers")
+    own = baskets.withColumn("id", F.monotonically_increasing_id()).select("id", "bad", F.explode("t").alias("item"))
+    own = own.join(numbers.where("free").select("item", "i"), "item").groupBy("id", "bad").agg(F.array_sort(F.collect_list("i")).alias("tail"))
+    paths = stage(own.groupBy("tail").agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")), "url-paths")
+    rules = _grow(paths, numbers, n_bad / n, rows, confidence)
+    whole = rules.select("x", "confidence", F.explode("x").alias("i")).join(numbers.select("i", "item", "freq"), "i").join(items.where("token = item").select("item", "members"), "item")
     whole = whole.groupBy("x", "confidence").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("tokens"), F.min(F.struct("freq", "item")).alias("least"))
     out = stage(whole.select("tokens", F.col("least.item").alias("key"), "confidence"), "url-rules")
-    for t in (baskets, items, mined, found, sets):
+    for t in (baskets, items, numbers, paths):
         unstage(t)
     return out
 
