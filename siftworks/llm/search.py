@@ -4,13 +4,15 @@ Index: documents are packed into shards of bounded size; in a shard, documents a
 ones are neighbours (by their most frequent term) and cut into blocks of BLOCK. Each term has its postings,
 and for each block it occurs in the largest term score there.
 
-Search of one query in one shard, with the k-th score so far as the threshold. The pivot: terms in order of
-their largest score, those before the pivot together stay below the threshold, so only blocks that hold the
-pivot or a term after it can hold a result; other blocks are skipped unseen. For these candidates the sums of
-block maxima bound each block. Blocks below the threshold are never scored. What departs from the textbook:
-cursors move over blocks instead of documents, and all blocks of a shard are judged at once, by falling
-bound, since steps of single documents cost too much outside compiled code. The bounds hold for every
-document, so the result is exact. One shard in SEEDS is searched first: the k-th score there is a floor for
+Search in one shard, with each query's k-th score so far as its threshold, for BATCH queries and TILE documents
+at a time. Rare terms, whose largest scores are high, are read posting by posting. The DENSE most frequent terms
+of the shard only enter by their block maxima: with the largest sum of rare terms in the block they bound each
+block for each query. Blocks below the threshold are never scored, which includes those without a pivot, as the
+other terms together stay below it. What departs from the textbook: all blocks of a tile are judged at once, bounds
+of frequent terms are one matrix product for all queries, and the scores in a block are one for all queries that
+have not skipped it, since steps of single documents and queries cost too much outside compiled code. These
+products are in single precision; what comes within their error of the threshold is scored again in double
+precision, in the order of terms, so the result is exact. One shard in SEEDS is searched first: the k-th score there is a floor for
 the whole collection, from which every task starts; inside a task the k best so far are carried from shard
 to shard as well. Scores use statistics of the whole collection, so the tasks' lists merge exactly. Ties go
 to the smaller doc_id.
@@ -25,6 +27,7 @@ queries there are. A task emits k rows a query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,9 @@ TOP = 10
 BLOCK = 64
 SHARD_BYTES = 16 << 20
 SHARD_DOCS = 60_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+#: Frequent terms of a shard that are scored by matrix products, and the queries, documents and rare postings taken at a time.
+DENSE, BATCH, TILE, POSTINGS = 1024, 256, 64 * BLOCK, 1 << 17
 #: One shard in so many is searched first, for the scores below which no document can be among the k best.
 SEEDS = 8
 _HITS = "query_id long, doc_id long, score double"
@@ -166,91 +171,131 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(term.view(np.int64)), pa.array(tf)], names=["query_id", "term", "times"])
 
 
+@dataclass(frozen=True)
+class Asked:
+    """Queries: those of query i have places ``starts[i]`` to ``starts[i + 1]``, in order of terms.
+
+    ``vocabulary`` has the terms of all, sorted, and ``term`` the index of each place in it.
+    """
+
+    starts: np.ndarray
+    term: np.ndarray
+    weights: np.ndarray
+    vocabulary: np.ndarray
+
+
 class Shard:
     def __init__(self, r: dict, average: float) -> None:
         self.ids = np.frombuffer(r["ids"], dtype=np.int64)
         lens = np.frombuffer(r["lens"], dtype=np.uint32)
         self.terms = np.frombuffer(r["terms"], dtype=np.uint64)
         offsets = np.frombuffer(r["offsets"], dtype=np.uint32).astype(np.int64)
-        self.docs = np.frombuffer(r["docs"], dtype=np.uint16).astype(np.int64)
+        docs = np.frombuffer(r["docs"], dtype=np.uint16)
+        self.docs = docs.astype(np.int64)
         tf = np.frombuffer(r["tfs"], dtype=np.uint32)
         norm = K1 * (1 - B + B * lens / average) if average else np.full(len(lens), K1)
         self.impact = tf * (K1 + 1) / (tf + norm[self.docs])
         if not len(self.terms):
             return
-        # a run: the postings of one term in one block of documents
-        of_term = np.repeat(np.arange(len(self.terms)), np.diff(offsets))
-        block = self.docs // BLOCK
-        self.run_start = _runs(of_term, block)
-        self.run_size = _sizes(self.run_start, len(block))
-        self.run_block = block[self.run_start]
-        self.run_max = np.maximum.reduceat(self.impact, self.run_start)
-        self.term_runs = np.searchsorted(of_term[self.run_start], np.arange(len(self.terms) + 1))
-        self.term_max = np.maximum.reduceat(self.run_max, self.term_runs[:-1])
-        self.n_blocks = -(-len(self.ids) // BLOCK)
+        df = np.diff(offsets)
+        often = np.argpartition(-df, DENSE)[:DENSE] if len(df) > DENSE else np.arange(len(df))
+        self.column = np.full(len(df), -1, dtype=np.int32)
+        self.column[often] = np.arange(len(often))
+        self.n_dense = len(often)
+        self.of_term = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        # the same postings by document, terms in order
+        by_doc = np.argsort(docs, kind="stable")
+        self.doc_terms, self.doc_impact = self.of_term[by_doc], self.impact[by_doc]
+        self.doc_start = np.append(0, np.cumsum(np.bincount(docs, minlength=len(self.ids))))
+        self.weight = np.zeros(len(df))
+
+    def tiles(self) -> Iterator[tuple]:
+        """First document, scores of frequent terms (block, term, document), their maxima, and the rare postings by term."""
+        for d0 in range(0, len(self.ids), TILE):
+            n_blocks = -(-min(TILE, len(self.ids) - d0) // BLOCK)
+            here = np.flatnonzero((self.docs >= d0) & (self.docs < d0 + TILE)) if len(self.ids) > TILE else slice(None)
+            term, doc, impact = self.of_term[here], self.docs[here] - d0, self.impact[here].astype(np.float32)
+            column = self.column[term]
+            often = column >= 0
+            frequent = np.zeros((n_blocks, self.n_dense, BLOCK), dtype=np.float32)
+            block, at = np.divmod(doc[often], BLOCK)
+            frequent[block, column[often], at] = impact[often]
+            rare = np.flatnonzero(~often)
+            first = np.append(0, np.cumsum(np.bincount(term[rare], minlength=len(self.terms))))
+            yield d0, frequent, np.ascontiguousarray(frequent.max(axis=2).T), first, doc[rare], impact[rare]
 
     def search(
         self, terms: np.ndarray, weights: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int, floor: float = 0.0
     ) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of ``best`` (scores, ids; in order) and this shard, without those that score below ``floor``."""
-        if not len(self.terms):
-            return best
-        at = np.searchsorted(self.terms, terms)
+        """The k best of ``best`` (scores, ids; in order) and this shard, without those that score below ``floor``. Terms ascend."""
+        out = [best]
+        self.search_all(Asked(np.array([0, len(terms)]), np.arange(len(terms)), weights, terms), out, k, np.array([floor]))
+        return out[0]
+
+    def search_all(self, asked: Asked, best: list[tuple[np.ndarray, np.ndarray]], k: int, floors: np.ndarray, rough: bool = False) -> None:
+        """``search`` for each query; ``best`` is changed in place. If ``rough``, scores are lower bounds."""
+        if not len(self.terms) or not len(asked.vocabulary):
+            return
+        at = np.searchsorted(self.terms, asked.vocabulary)
         at[at == len(self.terms)] = 0
-        have = self.terms[at] == terms
-        at, weights = at[have], weights[have]
-        least = max(floor, best[0][k - 1]) if len(best[0]) >= k else floor
-        if not len(at):
-            return best
-        most = weights * self.term_max[at]
-        order = np.argsort(most)
-        sums = np.cumsum(most[order]) * (1 + 1e-9)
-        if sums[-1] < least:
-            return best
-        pivot = int(np.searchsorted(sums, least)) if least else 0
-        # those before the pivot, then the pivot and the others in order of their terms
-        order = np.concatenate((order[:pivot], np.sort(order[pivot:])))
-        at, weights = at[order], weights[order]
-        lo, hi = self.term_runs[at], self.term_runs[at + 1]
-        runs = ranges(lo[pivot:], (hi - lo)[pivot:])
-        run_weight = np.repeat(weights[pivot:], (hi - lo)[pivot:])
-        block = self.run_block[runs]
-        bound = np.bincount(block, self.run_max[runs] * run_weight, self.n_blocks)
-        if pivot:
-            # what the terms before the pivot can add is known in sum, so few blocks need their runs
-            alive = (bound > 0) & ((bound + sums[pivot - 1]) * (1 + 1e-9) >= least)
-            few = ranges(lo[:pivot], (hi - lo)[:pivot])
-            few_weight = np.repeat(weights[:pivot], (hi - lo)[:pivot])
-            near = alive[self.run_block[few]]
-            keep = alive[block]
-            runs, run_weight = np.concatenate((runs[keep], few[near])), np.concatenate((run_weight[keep], few_weight[near]))
-            # runs lie by term: scores are summed in the order of terms everywhere, so equal documents tie
-            order = np.argsort(runs)
-            runs, run_weight = runs[order], run_weight[order]
-            block = self.run_block[runs]
-            bound = np.bincount(block, self.run_max[runs] * run_weight, self.n_blocks)
-        bound *= 1 + 1e-9
-        todo = bound > 0
-        for step in (None,) if least else (4, 32, None):  # without a floor yet, find one first
-            todo &= bound >= least
-            left = np.flatnonzero(todo)
-            if not len(left):
-                break
-            if step is not None and len(left) > step:
-                left = left[np.argpartition(-bound[left], step)[:step]]
-            now = np.zeros(self.n_blocks, dtype=bool)
-            now[left] = True
-            todo &= ~now
-            use = now[block]
-            r = runs[use]
-            size = self.run_size[r]
-            posting = ranges(self.run_start[r], size)
-            doc = self.docs[posting]
-            score = np.bincount(doc, self.impact[posting] * np.repeat(run_weight[use], size), len(self.ids))
-            hit = np.flatnonzero(score >= max(least, 1e-300))
-            best = _top(np.concatenate((best[0], score[hit])), np.concatenate((best[1], self.ids[hit])), k)
-            least = max(floor, best[0][k - 1]) if len(best[0]) >= k else floor
-        return best
+        at[self.terms[at] != asked.vocabulary] = -1
+        n = len(asked.starts) - 1
+        for tile in self.tiles():
+            for a in range(0, n, BATCH):
+                self._search_tile(tile, asked, at, a, min(a + BATCH, n), best, k, floors, rough)
+
+    def _search_tile(self, tile: tuple, asked: Asked, at: np.ndarray, a: int, b: int, best: list, k: int, floors: np.ndarray, rough: bool) -> None:
+        d0, frequent, most, first, docs, impact = tile
+        n, n_blocks = b - a, len(frequent)
+        width = n_blocks * BLOCK
+        lo, hi = asked.starts[a], asked.starts[b]
+        term, q, w = at[asked.term[lo:hi]], np.repeat(np.arange(n), np.diff(asked.starts[a : b + 1])), asked.weights[lo:hi]
+        have = term >= 0
+        term, q, w = term[have], q[have], w[have]
+        n_terms = np.bincount(q, minlength=n)
+        own = np.append(0, np.cumsum(n_terms))
+        least = np.array([max(floors[i], best[i][0][k - 1]) if len(best[i][0]) >= k else floors[i] for i in range(a, b)])
+        slack = (n_terms + 16) * 2.0**-22  # four times the relative error of sums in single precision, as no term is negative
+        column = self.column[term]
+        often = column >= 0
+        wide = np.zeros((n, self.n_dense), dtype=np.float32)
+        wide[q[often], column[often]] = w[often]
+        score = np.zeros(n * width, dtype=np.float32)
+        size = first[term + 1] - first[term]
+        rare = np.flatnonzero(size)  # frequent terms have no rare postings
+        size, start, row, rare_w = size[rare], first[term[rare]], q[rare] * width, w[rare].astype(np.float32)
+        cuts = np.flatnonzero(np.diff(np.cumsum(size) // POSTINGS, prepend=0))
+        for i, j in zip(np.append(0, cuts), np.append(cuts, len(size)), strict=True):
+            posting = ranges(start[i:j], size[i:j])
+            np.add.at(score, np.repeat(row[i:j], size[i:j]) + docs[posting], np.repeat(rare_w[i:j], size[i:j]) * impact[posting])
+        score = score.reshape(n, n_blocks, BLOCK)
+        bound = wide @ most + score.max(axis=2)
+        alive = (bound > 0) & (bound * (1 + slack[:, None]) >= least[:, None])
+        for block in np.flatnonzero(alive.any(axis=0)):
+            mine = np.flatnonzero(alive[:, block])
+            score[mine, block] += wide[mine] @ frequent[block]
+        score = score.reshape(n, width)
+        found = (score > 0) & (score >= (least * (1 - slack)).astype(np.float32)[:, None])
+        many = np.flatnonzero(np.count_nonzero(found, axis=1) > (k if rough else 4 * k))
+        if len(many):
+            kth = np.partition(score[many], width - k, axis=1)[:, width - k]
+            found[many] &= score[many] >= (kth * (1 - 2 * slack[many])).astype(np.float32)[:, None]
+        hit_q, hit_d = np.nonzero(found)
+        hit_d += d0
+        new = _runs(hit_q)
+        for i, j in zip(new, new + _sizes(new, len(hit_q)), strict=True):
+            x, d = hit_q[i], hit_d[i:j]
+            if rough:
+                exact = score[x, d - d0] * (1 - slack[x])
+            else:
+                mine = slice(own[x], own[x + 1])
+                self.weight[term[mine]] = w[mine]
+                size = self.doc_start[d + 1] - self.doc_start[d]
+                posting = ranges(self.doc_start[d], size)
+                exact = np.bincount(np.repeat(np.arange(len(d)), size), self.doc_impact[posting] * self.weight[self.doc_terms[posting]], len(d))
+                self.weight[term[mine]] = 0
+            keep = exact >= max(least[x], 1e-300)
+            best[a + x] = _top(np.concatenate((best[a + x][0], exact[keep])), np.concatenate((best[a + x][1], self.ids[d[keep]])), k)
 
 
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,20 +307,17 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return score[order], ids[order]
 
 
-def _searcher(shared, average: float, k: int):
+def _searcher(shared, average: float, k: int, rough: bool = False):
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, floors = shared.value
-        best = {q: (np.zeros(0), np.zeros(0, np.int64)) for q in queries}
+        ids, asked, floors = shared.value
+        best = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
         for b in batches:
             for i in range(b.num_rows):
-                shard = Shard(b.slice(i, 1).to_pylist()[0], average)
-                for q, (terms, weights) in queries.items():
-                    best[q] = shard.search(terms, weights, best[q], k, floors.get(q, 0.0))
-        ids = [np.full(len(s), q) for q, (s, _) in best.items()]
-        if ids:
+                Shard(b.slice(i, 1).to_pylist()[0], average).search_all(asked, best, k, floors, rough)
+        if best:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids)), pa.array(np.concatenate([d for _, d in best.values()])), pa.array(np.concatenate([s for s, _ in best.values()]))],
+                [pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([d for _, d in best])), pa.array(np.concatenate([s for s, _ in best]))],
                 names=["query_id", "doc_id", "score"],
             )
 
@@ -312,13 +354,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
         order = np.lexsort((t, q))
         q, t, w = q[order], t[order], w[order]
         first = _runs(q)
-        block = {int(q[a]): (t[a:b], w[a:b]) for a, b in zip(first, first + _sizes(first, len(q)), strict=True)}
-        sent = spark.sparkContext.broadcast((block, {}))
-        seed = some.mapInArrow(_searcher(sent, average, k), _HITS)
+        ids = q[first]
+        vocabulary, place = np.unique(t, return_inverse=True)
+        block = Asked(np.append(first, len(q)), place.astype(np.int32), w, vocabulary)
+        sent = spark.sparkContext.broadcast((ids, block, np.zeros(len(ids))))
+        seed = some.mapInArrow(_searcher(sent, average, k, rough=True), _HITS)
         kth = seed.withColumn("rank", rank).where(F.col("rank") == k).select("query_id", "score").toArrow()
         sent.destroy()
-        floors = dict(zip(kth.column("query_id").to_pylist(), kth.column("score").to_pylist(), strict=True))
-        sent = spark.sparkContext.broadcast((block, floors))
+        floors = np.zeros(len(ids))
+        floors[np.searchsorted(ids, kth.column("query_id").to_numpy())] = kth.column("score").to_numpy()
+        sent = spark.sparkContext.broadcast((ids, block, floors))
         part = shards.mapInArrow(_searcher(sent, average, k), _HITS).withColumn("rank", rank).where(F.col("rank") <= k)
         part.write.mode("append").parquet(found)
         sent.destroy()

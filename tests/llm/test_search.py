@@ -84,3 +84,38 @@ def test_empty_tables(spark):
     qs = spark.createDataFrame([(1, "a")], "query_id long, text string")
     assert S.search(df, qs).collect() == []
     assert S.search(spark.createDataFrame([(1, "a")], "doc_id long, text string"), qs.limit(0)).collect() == []
+
+
+def test_queries_together_equal_full_scores(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(700)]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (i + 1) for i in range(700)], k=rng.choice([1, 5, 50, 400]))) for _ in range(900)]
+    texts += texts[:30] + [""] * 5
+    for name, value in (("DENSE", 40), ("BATCH", 7), ("TILE", 4 * S.BLOCK), ("POSTINGS", 50)):
+        monkeypatch.setattr(S, name, value)
+    n = len(texts)
+    shard = S.Shard(S._shard(np.arange(n), pa.array(texts)), 100.0)
+    asked = [*range(0, n, 31), 934]
+    term, row, times, _ = S.bags(pa.array([texts[q] for q in asked]))
+    order = np.lexsort((term, row))
+    term, weights = term[order], times[order] * 1.3
+    starts = np.append(0, np.cumsum(np.bincount(row, minlength=len(asked))))
+    known, place = np.unique(np.append(term, np.uint64(5)), return_inverse=True)
+    full = np.zeros((len(asked), n))
+    for q in range(len(asked)):
+        for t, w in zip(term[starts[q] : starts[q + 1]], weights[starts[q] : starts[q + 1]], strict=True):
+            own = np.flatnonzero(shard.terms[shard.of_term] == t)
+            full[q, shard.docs[own]] += w * shard.impact[own]
+    tenth = np.sort(full, axis=1)[:, -10]
+    for floors in (np.zeros(len(asked)), tenth, tenth * 1.01):
+        got, rough = ([(np.zeros(0), np.zeros(0, np.int64)) for _ in asked] for _ in range(2))
+        shard.search_all(S.Asked(starts, place[:-1], weights, known), got, 10, floors)
+        shard.search_all(S.Asked(starts, place[:-1], weights, known), rough, 10, 0 * floors, rough=True)
+        for q, (score, ids) in enumerate(got):
+            keep = np.flatnonzero(full[q] >= max(floors[q], 1e-300))
+            keep = keep[np.lexsort((shard.ids[keep], -full[q, keep]))[:10]]
+            assert ids.tolist() == shard.ids[keep].tolist() and score.tolist() == full[q, keep].tolist()
+            assert len(rough[q][0]) >= len(score) and (rough[q][0][: len(score)] <= score).all()
