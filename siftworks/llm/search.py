@@ -45,7 +45,7 @@ SHARD_BYTES = 16 << 20
 SHARD_DOCS = 60_000
 BLOCK_BYTES = 16 << 20
 #: Frequent terms of a shard that are scored by matrix products, and the queries, documents and rare postings taken at a time.
-DENSE, BATCH, TILE, POSTINGS = 1024, 256, 64 * BLOCK, 1 << 17
+DENSE, BATCH, TILE, POSTINGS = 1024, 256, 64 * BLOCK, 1 << 15
 #: One shard in so many is searched first, for the scores below which no document can be among the k best.
 SEEDS = 8
 _HITS = "query_id long, doc_id long, score double"
@@ -222,7 +222,7 @@ class Shard:
             frequent[block, column[often], at] = impact[often]
             rare = np.flatnonzero(~often)
             first = np.append(0, np.cumsum(np.bincount(term[rare], minlength=len(self.terms))))
-            yield d0, frequent, np.ascontiguousarray(frequent.max(axis=2).T), first, doc[rare], impact[rare]
+            yield d0, frequent, np.ascontiguousarray(frequent.max(axis=2).T), first, _packed(doc[rare], impact[rare])
 
     def search(
         self, terms: np.ndarray, weights: np.ndarray, best: tuple[np.ndarray, np.ndarray], k: int, floor: float = 0.0
@@ -245,7 +245,7 @@ class Shard:
                 self._search_tile(tile, asked, at, a, min(a + BATCH, n), best, k, floors, rough)
 
     def _search_tile(self, tile: tuple, asked: Asked, at: np.ndarray, a: int, b: int, best: list, k: int, floors: np.ndarray, rough: bool) -> None:
-        d0, frequent, most, first, docs, impact = tile
+        d0, frequent, most, first, postings = tile
         n, n_blocks = b - a, len(frequent)
         width = n_blocks * BLOCK
         lo, hi = asked.starts[a], asked.starts[b]
@@ -263,11 +263,18 @@ class Shard:
         score = np.zeros(n * width, dtype=np.float32)
         size = first[term + 1] - first[term]
         rare = np.flatnonzero(size)  # frequent terms have no rare postings
-        size, start, row, rare_w = size[rare], first[term[rare]], q[rare] * width, w[rare].astype(np.float32)
-        cuts = np.flatnonzero(np.diff(np.cumsum(size) // POSTINGS, prepend=0))
+        size, asking = size[rare], _packed(q[rare] * width, w[rare])
+        ends = np.cumsum(size)
+        start = first[term[rare]] - ends + size
+        cuts = np.flatnonzero(np.diff(ends // POSTINGS, prepend=0))
         for i, j in zip(np.append(0, cuts), np.append(cuts, len(size)), strict=True):
-            posting = ranges(start[i:j], size[i:j])
-            np.add.at(score, np.repeat(row[i:j], size[i:j]) + docs[posting], np.repeat(rare_w[i:j], size[i:j]) * impact[posting])
+            if i == j:
+                continue
+            posting = np.repeat(start[i:j], size[i:j])
+            posting += np.arange(ends[i] - size[i], ends[j - 1])
+            of_doc, of_query = np.take(postings, posting, mode="clip"), np.repeat(asking[i:j], size[i:j])
+            place = (of_doc.view(np.int32)[::2] + of_query.view(np.int32)[::2]).astype(np.intp)
+            np.add.at(score, place, of_doc.view(np.float32)[1::2] * of_query.view(np.float32)[1::2])
         score = score.reshape(n, n_blocks, BLOCK)
         bound = wide @ most + score.max(axis=2)
         alive = (bound > 0) & (bound * (1 + slack[:, None]) >= least[:, None])
@@ -298,6 +305,14 @@ class Shard:
             best[a + x] = _top(np.concatenate((best[a + x][0], exact[keep])), np.concatenate((best[a + x][1], self.ids[d[keep]])), k)
 
 
+def _packed(place: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A place (32 bits) and a value (single precision) in one word, so that both are gathered at once."""
+    out = np.empty(len(place), dtype=np.int64)
+    out.view(np.int32)[::2] = place
+    out.view(np.float32)[1::2] = value
+    return out
+
+
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     if len(score) > 4 * k:
         cut = np.partition(score, len(score) - k)[len(score) - k]
